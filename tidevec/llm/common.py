@@ -29,3 +29,18 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; every other character keeps its code point."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def bounded_sample(df: DataFrame, text_col: str, rows: int) -> DataFrame:
+    """About ``rows`` rows at most, one a distinct text: those whose text hash is below a share of the hash range.
+
+    The share is rows / count, so the size is bounded whatever the input; small inputs are taken whole.
+    The same texts give the same sample in any order or partitioning.
+    """
+    n = df.count()
+    hashed = df.withColumn("_h", F.xxhash64(text_col))
+    if n > rows:
+        below = int(rows / n * 2**64) - 2**63
+        hashed = hashed.where(F.col("_h") < F.lit(below))
+    first = [F.min(F.struct(*df.columns)).alias("_r")]
+    return hashed.groupBy("_h").agg(*first).select("_r.*")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidevec.llm import ogg
+from tidevec.llm import html_text, langid, ogg
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,26 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def _held_out(modulus: int, remainder: int) -> Column:
+    """crc32 of the id as text leaves this remainder; a null id counts as the empty string."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs, ~_held_out(3, 1))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", "score", "distance", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_media_columns": op5_media_columns,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_language_id": op7_language_id,
 }
 
 ORACLES: dict[str, str] = {}
