@@ -172,3 +172,17 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, found, kinds)], [id_col, "lang_pred", "score", "distance", "rejected"])
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, distance double, rejected boolean")
+
+
+def keep_identified(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of df that are not rejected, with all their columns."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                yield part.filter(pa.array([not x[3] for x in shared.value.predict(part.column(place).to_pylist())], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
