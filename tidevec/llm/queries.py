@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidevec.llm import decontaminate, html_text, langid, licenses, lines, ogg, packing, simhash
+from tidevec.llm import decontaminate, html_text, langid, licenses, lines, ogg, packing, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~_held_out(4, 2))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted", "n_voters")
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simhash": op3_simhash,
+    "op4_toxicity": op4_toxicity,
     "op5_media_columns": op5_media_columns,
     "op6_html_extraction": op6_html_extraction,
     "op7_language_id": op7_language_id,
