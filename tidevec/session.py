@@ -31,3 +31,17 @@ def local_session(cores: int | str = "*", memory: str = "8g", app: str = "tideve
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the cluster's, or one of our own where none is named, as in tests."""
+    import tempfile
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidevec-checkpoint-"))
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return current.get()
