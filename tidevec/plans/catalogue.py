@@ -335,7 +335,7 @@ def ivf_join_quality(spark, sf):
     from tidevec.plans.metrics import quality
 
     left, right = _halves(spark, sf)
-    return quality(join.similarity_join(left, right, BAND, THRESHOLD, "ivf_lazy", nlist=8, nprobe=5), join.similarity_join(left, right, BAND, THRESHOLD), ["l", "r"])
+    return quality(join.similarity_join(left, right, BAND, THRESHOLD, "ivf_lazy", nlist=8, nprobe=7), join.similarity_join(left, right, BAND, THRESHOLD), ["l", "r"])
 
 
 @query(None)
