@@ -24,9 +24,9 @@ def test_positions_are_the_global_order(spark):
     data = [(i, random.choice([0, 5, 5, 9, random.randrange(1000)]), [0.0]) for i in range(500)]
     df = spark.createDataFrame(data, S).repartition(7)
     want = {u: p for p, (u, _, _) in enumerate(sorted(data, key=lambda r: (r[1], r[0])))}
-    assert {r.uid: r.pos for r in order.positions(df, buckets=6).collect()} == want
+    assert {r.uid: r.pos for r in order.positions(df).collect()} == want
     back = {u: len(data) - 1 - p for u, p in want.items()}
-    assert {r.uid: r.pos for r in order.positions(df, descending=True, buckets=6).collect()} == back
+    assert {r.uid: r.pos for r in order.positions(df, descending=True).collect()} == back
 
 
 def test_tumbling_windows_drop_the_last_part(spark):

@@ -1,27 +1,33 @@
 """Positions in the global order (ts, uid) without sorting everything in one task.
 
-Rows fall into buckets of timestamp quantiles, found once; counts of the buckets give
-where each starts, and rows are numbered within their bucket. A bucket is one task's
-sort, so there are as many as shuffle partitions at least.
+Rows are range-partitioned and sorted within their partitions, which are then fixed in
+the shared checkpoint folder: a partition's rows stay the same however often a task is
+run. Counts of the partitions give where each starts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from tidevec.session import shared_dir
 
-def positions(df: DataFrame, name: str = "pos", descending: bool = False, buckets: int | None = None) -> DataFrame:
+_ROW = 33  # bits that monotonically_increasing_id() has for the row within its partition
+
+
+def positions(df: DataFrame, name: str = "pos", descending: bool = False) -> DataFrame:
     """df with each row's position from 0, by (ts, uid); descending gives last-in-first-out order.
     Rows with equal ts and uid are numbered in an arbitrary order among themselves. A null ts comes first."""
     spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted({int(x) for x in df.approxQuantile("ts", [i / n for i in range(1, n)], 0.25 / n)}) if n > 1 else []
-    # the bounds are few (one a bucket); uids divide what a bound leaves together
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("ts"))) if bounds else F.lit(0)
-    rows = df.withColumn("_b", F.coalesce(bucket, F.lit(-1)))
+    shared_dir(spark)
     order = [F.col("ts").desc(), F.col("uid").desc()] if descending else [F.col("ts"), F.col("uid")]
-    counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = Window.orderBy(F.col("_b").desc() if descending else F.col("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
-    return numbered.join(F.broadcast(starts), "_b").withColumn(name, F.col("_start") + F.col("_r") - 1).drop("_b", "_r", "_start")
+    fixed = df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint(eager=True)
+    rows = fixed.withColumn("_m", F.monotonically_increasing_id())
+    part = F.shiftright("_m", _ROW)
+    counts = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row a partition
+    starts, at = [], 0
+    for p in sorted(counts):
+        starts.append((p, at))
+        at += counts[p]
+    first = F.broadcast(spark.createDataFrame(starts, "_part bigint, _start bigint"))
+    numbered = rows.join(first, part == F.col("_part"))
+    return numbered.withColumn(name, F.col("_start") + F.col("_m").bitwiseAND((1 << _ROW) - 1)).drop("_m", "_part", "_start")
