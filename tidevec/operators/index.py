@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidevec.functions import vectors
@@ -38,20 +39,30 @@ def fit_lists(rows: DataFrame, nlist: int, seed: int = 42, iterations: int = 20)
     return np.array(model.clusterCenters())
 
 
-def _centroid_distances(vec: Column, centroids: np.ndarray) -> Column:
-    """Structs of (squared distance, list), a list each; the centroids are literals of a bounded number."""
-    return F.array(*[F.struct(vectors.l2_sq(vec, F.array(*[F.lit(float(x)) for x in c])).alias("d"), F.lit(i).alias("list")) for i, c in enumerate(centroids)])
+def _nearest_lists(vec: Column, centroids: np.ndarray, n: int) -> Column:
+    """The n lists whose centroids are nearest, nearest first, by matrix products on Arrow batches."""
+    shared = SparkSession.active().sparkContext.broadcast(centroids)
+
+    def find(vectors_: pd.Series) -> pd.Series:
+        c = shared.value
+        norms = (c * c).sum(1)
+        out = []
+        for i in range(0, len(vectors_), 4096):
+            x = np.stack(vectors_.iloc[i : i + 4096].to_numpy()).astype(np.float64)
+            out += list(np.argsort(norms - 2 * x @ c.T, axis=1, kind="stable")[:, :n].astype(np.int32))
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(find, "array<int>")(vec.cast("array<double>"))
 
 
 def assign(df: DataFrame, vec: Column, centroids: np.ndarray, name: str = "list") -> DataFrame:
     """df with the list of its nearest centroid."""
-    return df.withColumn(name, F.array_min(_centroid_distances(vec, centroids))["list"])
+    return df.withColumn(name, _nearest_lists(vec, centroids, 1)[0])
 
 
 def probes(df: DataFrame, vec: Column, centroids: np.ndarray, nprobe: int, name: str = "list") -> DataFrame:
     """df once for each of the nprobe lists nearest to its vector."""
-    nearest = F.slice(F.array_sort(_centroid_distances(vec, centroids)), 1, max(1, min(nprobe, len(centroids))))
-    return df.withColumn(name, F.explode(F.transform(nearest, lambda x: x["list"])))
+    return df.withColumn(name, F.explode(_nearest_lists(vec, centroids, max(1, min(nprobe, len(centroids))))))
 
 
 def hash_tables(dim: int, tables: int, seed: int = 42, functions: int = 2):
