@@ -44,3 +44,20 @@ def test_pipeline_runs_from_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.queries()["pipeline"](spark, "/root/testdata/sf0.001").count() > 100
+
+
+def test_stages_on_edge_cases(spark):
+    sf = "/root/testdata/sf0.001"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id int, gone string, _id int, node int, t int, first int, n_lines int"
+    row = lambda i, t, lang="en": (i, t, lang, None, None, 1, "x", 2, 3, 4, 5, 6)
+    some = spark.createDataFrame([row(1, None), row(None, "a few plain words of text, and some more of them"), row(2, ""), row(2, ""), row(3, "a few plain words of text, and some more of them", None), row(4, "x" * 100_000)], schema)
+    for docs in (some, some.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            rows = out.collect()
+            if name != "best_fit_packing":
+                assert out.columns == docs.columns
+            if not docs.isEmpty() and name == "line_dedup":
+                assert sorted((r.text or "")[:10] for r in rows) == ["", "", "", "", "a few plai", "x" * 10]
+            if not docs.isEmpty() and name == "near_dedup":
+                assert len(rows) in (3, 4)

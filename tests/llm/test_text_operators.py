@@ -455,6 +455,8 @@ def test_main_text():
     assert html_text.main_text(plain) == ("A sentence of the text. " * 5).strip() + "\nShort one."
     assert html_text.main_text("<article><p>one<p>two</article><p>not this") == "one\ntwo"
     assert html_text.main_text("<article><p>a < b") == "a < b"
+    assert html_text.main_text('<div class="content has-sidebar"><article><div class="entry-header"><h1>T</h1></div><p><a href="/x">linked</a></p></article></div>') == "T\nlinked"
+    assert html_text.main_text('<article><p>text</p></article><article class="comment"><p>me too</p></article>') == "text"
 
 
 def test_extract(spark):

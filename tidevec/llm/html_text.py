@@ -1,8 +1,8 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines: one a block element, white space made single, and
-character references decoded. A line weighs as many characters as it has outside
-links; what stands in page furniture (menus, headers, footers, sidebars, notices,
+character references decoded. A line weighs as many characters as it has, outside
+articles as it has outside links; what stands in page furniture (menus, headers, footers, sidebars, notices,
 adverts, forms, reader comments) has no weight and leaves blank lines, like
 scripts and styles. The weight of a sliding window of ``WINDOW`` lines then gives
 the distribution: a block of text starts where the sum surges from zero and ends
@@ -29,7 +29,7 @@ from tidevec.llm.common import pick
 
 WINDOW = 3
 #: Least weight of a window for a block outside article and main.
-SURGE = 60
+SURGE = 40
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 #: Elements whose content is not text.
@@ -52,15 +52,26 @@ _ROLE = frozenset("navigation banner contentinfo complementary search menu menub
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 
+#: Layout classes that name what stands beside a text, not what it is.
+_BESIDE = re.compile(r"(?:has|with|without|no)[_-][\w-]+", re.I)
+#: What makes an article a reader's comment or a teaser.
+_NOT_MAIN = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|disqus|related|teaser|promo|ads?|advert|sponsor(?:ed)?)(?:$|[\s_\d-])", re.I)
+_TITLE = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_\d-])", re.I)
+
+
 def _furniture(name: str, attrs: str, inside: bool) -> bool:
     if name in FURNITURE or (name == "header" and not inside):
         return True
-    if not attrs or name in ("html", "body", "article", "main"):
+    if not attrs or name in ("html", "body", "main"):
         return False
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id") and _HINT.search(value):
-            return True
+        if key in ("class", "id"):
+            value = _BESIDE.sub(" ", value)
+            if inside:  # there, a header is the text's own
+                value = _TITLE.sub(" ", value)
+            if (_NOT_MAIN if name == "article" else _HINT).search(value):
+                return True
         if key == "role" and value.strip().lower() in _ROLE or key == "aria-hidden" and value.lower() == "true":
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"""=\s*(?:"[^"]*"|'[^']*')""", "=", attrs))) or bool(re.search(r"display\s*:\s*none", attrs, re.I))
@@ -81,7 +92,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             text = " ".join(unescape("".join(buf)).split())
             buf.clear()
             if text:
-                out.append((text, max(0, len(text) - linked), region > 0))
+                # links in an article are part of it; outside, they make a menu
+                out.append((text, len(text) if region else max(0, len(text) - linked), region > 0))
         linked = 0
 
     at, size = 0, len(html)
