@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidevec.llm.common import bounded_sample, pick
 
 DIM = 1 << 13
-FIT_ROWS = 3000  # bound on the labelled rows a model is fitted on
+FIT_ROWS = 2000  # bound on the labelled rows a model is fitted on
 CENTROIDS = 4  # a language
 ROUNDS = 12
 #: A text is rejected if its distance is over SLACK times the largest seen in training for its length class.
@@ -111,10 +111,11 @@ class Model:
 
 def fit(texts: list[str], labels: list[str], k: int = CENTROIDS) -> Model:
     """A model of the labelled texts; deterministic."""
-    rows = [(c, lang) for t, lang in zip(texts, labels) if t is not None and lang is not None and (c := counts(t)) is not None]
+    # small counts: a row of them takes 16 KB
+    rows = [(np.minimum(c, 65535).astype(np.uint16), lang) for t, lang in zip(texts, labels) if t is not None and lang is not None and (c := counts(t)) is not None]
     if not rows:
         return Model([], np.zeros((0, DIM), np.float32), np.ones(DIM, np.float32), np.ones(14))
-    counted = np.stack([np.minimum(c, 65535).astype(np.uint16) for c, _ in rows])
+    counted = np.stack([c for c, _ in rows])
     langs = np.array([lang for _, lang in rows])
     idf = (np.log((1 + len(rows)) / (1 + (counted > 0).sum(0))) + 1).astype(np.float32)
     x = _weigh(counted, idf)
