@@ -215,7 +215,10 @@ def near_duplicates(df: DataFrame, k: int = 3, id_col: str = "doc_id", text_col:
 # Near-duplicates by similarity, for filtering a corpus.
 
 WIDE = 8  # 64-bit words of a wide fingerprint
-BANDS, BAND_BITS = 10, 28
+BANDS, BAND_BITS = 12, 30
+#: The last 32 bits of a wide fingerprint stand in its node's number; nodes that meet by chance mostly differ in
+#: more of them than this, three standard deviations over what texts at the threshold do.
+CHECK_LIMIT = 11
 #: Members of a bucket's group that still meet in pairs; of more, each meets its neighbours in two orders.
 ALL_PAIRS = 6
 
@@ -229,16 +232,16 @@ def bit_limit(similarity: float, bits: int = 64 * WIDE) -> int:
 
 
 def _band_keys(fp: np.ndarray) -> np.ndarray:
-    """Rows x bands x variants: the band number and its bits, with none or one of them flipped."""
+    """Rows x bands x variants: a band's bits, with none or one of them flipped."""
     bits = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")[:, : BANDS * BAND_BITS]
     value = (bits.reshape(len(fp), BANDS, BAND_BITS).astype(np.uint32) << np.arange(BAND_BITS, dtype=np.uint32)).sum(2, dtype=np.uint32)
-    value |= np.arange(BANDS, dtype=np.uint32) << np.uint32(BAND_BITS)
     flips = np.array([0, *(1 << i for i in range(BAND_BITS))], np.uint32)
     return value[:, :, None] ^ flips
 
 
 def _group_pairs(node: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Candidate pairs among the nodes of equal keys."""
+    """Candidate pairs among the nodes of equal keys: of few nodes all whose check bits are close, of many
+    those next to each other, or to the first, in two orders."""
     order = np.lexsort((node, key))
     node, key = node[order], key[order]
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -259,15 +262,17 @@ def _group_pairs(node: np.ndarray, key: np.ndarray) -> np.ndarray:
         lead = np.repeat(n[first], np.diff(np.r_[first, len(k)]))
         out.append(np.stack([lead, n], 1)[lead != n])
         out.append(np.stack([n[:-1], n[1:]], 1)[k[:-1] == k[1:]])
-    return np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+    pairs = np.concatenate(out)
+    pairs = pairs[np.bitwise_count((pairs[:, 0] ^ pairs[:, 1]) & 0xFFFFFFFF) <= CHECK_LIMIT]
+    return np.unique(np.sort(pairs, axis=1), axis=0)
 
 
 def similar_groups(df: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, t (hash of the text) and first (id and t of the group's first member) of every row.
 
     Wide fingerprints (512 bits) of k-word shingles are compared by bands: every band emits its ball of
-    radius one, so fingerprints meet wherever a band of 28 bits differs in two bits at most. Of ten bands
-    one does with a chance of 0.87 at a similarity of 0.8, 0.96 at 0.85 and over 0.99 from 0.9. Pairs that
+    radius one, so fingerprints meet wherever a band of 30 bits differs in two bits at most. Of twelve bands
+    one does with a chance of 0.85 at a similarity of 0.8, 0.96 at 0.85 and over 0.99 from 0.9. Pairs that
     meet are verified on all bits (``bit_limit``), and groups are what verified links connect. Texts
     without words are equal to each other; equal texts are always one group.
     """
@@ -281,12 +286,15 @@ def similar_groups(df: DataFrame, k: int = 5, similarity: float = 0.8, id_col: s
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 fp = fingerprints(part.column(1).cast(pa.binary()).to_pylist(), k, WIDE)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x.tobytes() for x in fp], pa.binary())], ["id", "t", "fp"])
+                check = pa.array((fp[:, -1] >> np.uint64(32)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x.tobytes() for x in fp], pa.binary()), check], ["id", "t", "fp", "check"])
 
-    own = cut(rows.mapInArrow(sketch, f"id {kind}, t bigint, fp binary").withColumn("node", F.xxhash64("fp")))
+    number = F.shiftleft(F.xxhash64("fp"), 32).bitwiseOR(F.col("check")).alias("node")
+    own = cut(rows.mapInArrow(sketch, f"id {kind}, t bigint, fp binary, check bigint").select("id", "t", "fp", number))
     nodes = cut(own.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.struct("id", "t")).alias("first")))
     entries = BANDS * (BAND_BITS + 1)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * entries // ENTRIES))
+    # every bucket has one band
+    buckets = -(-max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * entries // ENTRIES)) // BANDS)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,9 +302,9 @@ def similar_groups(df: DataFrame, k: int = 5, similarity: float = 0.8, id_col: s
                 part = batch.slice(i, 2048)
                 node = part.column(0).to_numpy(zero_copy_only=False)
                 fp = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(len(node), WIDE)
-                key = _band_keys(fp).reshape(-1)
-                node = np.repeat(node, entries)
-                to = (_mix(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                key = _band_keys(fp)
+                to = (_mix(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64) + np.arange(BANDS)[:, None] * buckets
+                key, to, node = key.reshape(-1), to.reshape(-1), np.repeat(node, entries)
                 order = np.argsort(to, kind="stable")
                 to, key, node = to[order], key[order], node[order]
                 cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
