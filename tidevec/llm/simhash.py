@@ -219,7 +219,7 @@ BANDS, BAND_BITS = 12, 30
 #: The last 32 bits of a wide fingerprint stand in its node's number; nodes that meet by chance mostly differ in
 #: more of them than this, three standard deviations over what texts at the threshold do.
 CHECK_LIMIT = 11
-#: Members of a bucket's group that still meet in pairs; of more, each meets its neighbours in two orders.
+#: Members of a key that still meet in pairs; of more, each meets a few, so links are in proportion to members.
 ALL_PAIRS = 6
 
 
@@ -239,30 +239,45 @@ def _band_keys(fp: np.ndarray) -> np.ndarray:
     return value[:, :, None] ^ flips
 
 
-def _group_pairs(node: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Candidate pairs among the nodes of equal keys: of few nodes all whose check bits are close, of many
-    those next to each other, or to the first, in two orders."""
+def _group_pairs(node: np.ndarray, key: np.ndarray, flip: np.ndarray) -> np.ndarray:
+    """Candidate pairs among the nodes of equal keys (flip: the variant's number; key with that bit flipped back is
+    the node's own value): of few nodes all; of many, those of one value next to each other, or to the first, and
+    the first nodes of different values in the same way.
+
+    Two nodes share up to 31 keys of a band, and are paired at one of them: at their own value, if it is the
+    same, else at the smaller one of the two keys between their values. Their check bits must be close.
+    """
+    value = key ^ np.r_[0, 1 << np.arange(BAND_BITS)].astype(np.uint32)[flip]
     order = np.lexsort((node, key))
-    node, key = node[order], key[order]
+    node, key, value = node[order], key[order], value[order]
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
-    out = [np.zeros((0, 2), np.int64)]
+    left, right = [np.zeros(0, int)], [np.zeros(0, int)]
     for m in range(2, ALL_PAIRS + 1):
         at = start[size == m]
         for i, j in combinations(range(m), 2):
-            out.append(np.stack([node[at + i], node[at + j]], 1))
-    large = np.repeat(size, size) > ALL_PAIRS
-    if large.any():
-        n, k = node[large], key[large]
-        out.append(np.stack([n[:-1], n[1:]], 1)[k[:-1] == k[1:]])
-        h = _mix(n.view(np.uint64) ^ (k.astype(np.uint64) << np.uint64(29)))
-        by = np.lexsort((h, k))
-        n, k = n[by], k[by]
-        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        lead = np.repeat(n[first], np.diff(np.r_[first, len(k)]))
-        out.append(np.stack([lead, n], 1)[lead != n])
-        out.append(np.stack([n[:-1], n[1:]], 1)[k[:-1] == k[1:]])
-    pairs = np.concatenate(out)
+            left.append(at + i)
+            right.append(at + j)
+    large = np.flatnonzero(np.repeat(size, size) > ALL_PAIRS)
+    if len(large):
+        large = large[np.lexsort((node[large], value[large], key[large]))]
+        k, v = key[large], value[large]
+        new = np.r_[True, (k[1:] != k[:-1]) | (v[1:] != v[:-1])]
+        centre = large[k == v]
+        mixed_up = centre[np.lexsort((_mix(node[centre].view(np.uint64)), key[centre]))]
+        for own, star in ((large[new], True), (centre, True), (mixed_up, False)):
+            same = key[own[1:]] == key[own[:-1]]
+            left.append(own[:-1][same])
+            right.append(own[1:][same])
+            if star:
+                first = np.flatnonzero(np.r_[True, ~same][: len(own)])
+                lead = np.repeat(own[first], np.diff(np.r_[first, len(own)]))
+                left.append(lead[lead != own])
+                right.append(own[lead != own])
+    i, j = np.concatenate(left), np.concatenate(right)
+    other = value[i] ^ value[j] ^ key[i]
+    here = np.where(value[i] == value[j], key[i] == value[i], key[i] < other)
+    pairs = np.stack([node[i[here]], node[j[here]]], 1)
     pairs = pairs[np.bitwise_count((pairs[:, 0] ^ pairs[:, 1]) & 0xFFFFFFFF) <= CHECK_LIMIT]
     return np.unique(np.sort(pairs, axis=1), axis=0)
 
@@ -304,23 +319,24 @@ def similar_groups(df: DataFrame, k: int = 5, similarity: float = 0.8, id_col: s
                 fp = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(len(node), WIDE)
                 key = _band_keys(fp)
                 to = (_mix(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64) + np.arange(BANDS)[:, None] * buckets
+                flip = np.broadcast_to(np.arange(BAND_BITS + 1, dtype=np.uint8), key.shape).reshape(-1)
                 key, to, node = key.reshape(-1), to.reshape(-1), np.repeat(node, entries)
                 order = np.argsort(to, kind="stable")
-                to, key, node = to[order], key[order], node[order]
+                to, key, node, flip = to[order], key[order], node[order], flip[order]
                 cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
                 ends = np.r_[cuts[1:], len(to)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(to[cuts]), pa.array([node[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([key[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())],
-                    ["bucket", "nodes", "keys"],
+                    [pa.array(to[cuts]), *(pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()) for x in (node, key, flip))],
+                    ["bucket", "nodes", "keys", "flips"],
                 )
 
     def meet(table: pa.Table) -> pa.Table:
         node = np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64)
         key = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32)
-        pairs = _group_pairs(node, key)
+        pairs = _group_pairs(node, key, np.frombuffer(b"".join(table.column("flips").to_pylist()), np.uint8))
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    met = nodes.select("node", "fp").mapInArrow(emit, "bucket bigint, nodes binary, keys binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
+    met = nodes.select("node", "fp").mapInArrow(emit, "bucket bigint, nodes binary, keys binary, flips binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
     left, right = nodes.select(F.col("node").alias("a"), F.col("fp").alias("x")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("y"))
     limit = bit_limit(similarity)
 
@@ -339,7 +355,8 @@ def similar_groups(df: DataFrame, k: int = 5, similarity: float = 0.8, id_col: s
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are first in their group of near-duplicates, with all their columns."""
+    """The rows of docs that are first in their group of near-duplicates, with all their columns. Rows that
+    repeat an id and its text are one document and stay or go together."""
     gone = similar_groups(docs, k, similarity, id_col, text_col).where(~F.struct(id_col, "t").eqNullSafe(F.col("first")))
     gone = gone.select(F.col(id_col).alias("_id"), F.col("t").alias("_t")).distinct()
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_t"]), "left_anti")
