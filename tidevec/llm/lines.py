@@ -37,7 +37,12 @@ BROADCAST_ROWS = 1_000_000
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), "[ \\t\\r\\f\\x0B]+", " "))
+    """Lower case, with single spaces for white space; most lines have no other and need no regex."""
+    odd = F.lit(False)
+    for gap in ("  ", "\t", "\r", "\f", "\x0b"):
+        odd = odd | F.contains(line, F.lit(gap))
+    lower = F.lower(line)
+    return F.trim(F.when(odd, F.regexp_replace(lower, "[ \\t\\r\\f\\x0B]+", " ")).otherwise(lower))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -106,13 +111,29 @@ def distance(a: Column, b: Column, k: int = EDITS) -> Column:
     return F.aggregate(items, zero, fold, lambda acc: acc["d"])
 
 
-def _verified(pairs: DataFrame) -> DataFrame:
-    """The place that a verified pair removes: the later one. pairs: a, b with h, n, line, first."""
-    longer = F.when(F.col("a.n") >= F.col("b.n"), F.col("a.line")).otherwise(F.col("b.line"))
-    shorter = F.when(F.col("a.n") >= F.col("b.n"), F.col("b.line")).otherwise(F.col("a.line"))
-    pairs = pairs.select(longer.alias("l"), shorter.alias("s"), F.greatest("a.first", "b.first").alias("first")).distinct()
-    # the distance stands in the select, and the filter behind a distinct, so it is computed once a pair
-    return pairs.select("first", distance(F.col("l"), F.col("s")).alias("d")).groupBy("first").agg(F.min("d").alias("d")).where(F.col("d") <= EDITS).select("first")
+def _verified(pairs: DataFrame, parts: int) -> DataFrame:
+    """The place that a verified pair removes: the later one. pairs: a, b with h, side, j, n, line, first.
+
+    Their hash says that they agree outside part j; that is compared, and the distance found of the part with
+    two more characters at each end, so that it is longer than the band.
+    """
+
+    def cuts(c: str) -> tuple[Column, Column, Column]:
+        line, n, side = F.col(f"{c}.line"), F.col(f"{c}.n"), F.col(f"{c}.side")
+        size = n + side
+        begin = F.greatest(F.lit(0), _edge(size, F.lit(parts), F.col(f"{c}.j")) - 2)
+        end = F.least(size, _edge(size, F.lit(parts), F.col(f"{c}.j") + 1) + 2) - side
+        return F.substring(line, F.lit(1), begin), F.substring(line, begin + 1, end - begin), F.substring(line, end + 1, n - end)
+
+    (a1, a2, a3), (b1, b2, b3) = cuts("a"), cuts("b")
+    a_longer = F.col("a.n") >= F.col("b.n")
+    pairs = pairs.select(
+        ((a1 == b1) & (a3 == b3)).alias("same"), F.when(a_longer, a2).otherwise(b2).alias("l"), F.when(a_longer, b2).otherwise(a2).alias("s"),
+        F.greatest("a.first", "b.first").alias("first"),
+    ).distinct()
+    # the distance stands in the select, and the filter behind an aggregate, so it is computed once a pair
+    measured = pairs.select("first", F.when(F.col("same"), distance(F.col("l"), F.col("s"))).alias("d"))
+    return measured.groupBy("first").agg(F.min("d").alias("d")).where(F.col("d") <= EDITS).select("first")
 
 
 def _near(docs: DataFrame) -> DataFrame:
@@ -138,7 +159,7 @@ def _near(docs: DataFrame) -> DataFrame:
         counts = rows.groupBy("key").agg(F.count("*").alias("n_key"), F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("n_own"))
         counts = counts.where("n_key > 1 and n_own > 0")
         # few lines: all their pairs, of a bounded list
-        item = F.struct("side", "h", "n", "first", "line")
+        item = F.struct("side", "h", "j", "n", "first", "line")
         few = rows.join(counts.where(F.col("n_key") <= FEW).select("key"), "key").groupBy("key").agg(F.collect_list(item).alias("rows"))
         a = few.select("rows", F.explode("rows").alias("a")).where("a.side = 0")
         b = a.select("a", F.explode("rows").alias("b")).where("a.h <> b.h and (b.side = 1 or a.h < b.h)")
@@ -147,12 +168,12 @@ def _near(docs: DataFrame) -> DataFrame:
         # at the end, where one character may differ: through the earliest line
         last = F.col("n") + F.col("side") <= parts
         leaf = many.where(last)
-        own = F.struct("h", "n", "line", "first")
+        own = F.struct("h", "side", "j", "n", "first", "line")
         # lines of side 1 equal what is left, so a hash has one of them, and each is within the edit of all others
         star = leaf.groupBy("key").agg(F.min(F.struct(F.col("first"), own.alias("r"))).alias("s")).select("key", F.col("s.r").alias("b"))
         star = leaf.select("key", own.alias("a")).join(star, "key").where("a.h <> b.h").select("a", "b")
-        keep = lambda c: F.struct(F.col(f"{c}.h"), F.col(f"{c}.n"), F.col(f"{c}.line"), F.col(f"{c}.first")).alias(c)
-        hits = cut(_verified(pairs.select(keep("a"), keep("b")).unionByName(star.select(keep("a"), keep("b")))))
+        keep = lambda c: F.struct(*[F.col(f"{c}.{x}") for x in ("h", "side", "j", "n", "first", "line")]).alias(c)
+        hits = cut(_verified(pairs.select(keep("a"), keep("b")).unionByName(star.select(keep("a"), keep("b"))), parts))
         found = hits if found is None else found.unionByName(hits)
         deeper = many.where(~last).select("h", "side", "j", "n", "first", "line")
         parts *= FAN
@@ -175,16 +196,58 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text of the lines that are left, and n_lines and n_removed."""
-    gone = removed(docs, id_col, text_col).groupBy("id", "t").agg(F.collect_list("line_no").alias("_gone"))
-    gone = gone.select(F.col("id").alias("_id"), F.col("t").alias("_t"), "_gone")
-    rows = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_t"]), "left")
+    """docs with the text of the lines that are left, and n_lines and n_removed (which replace columns of that name)."""
+    docs = docs.drop("n_lines", "n_removed")
+    gone = removed(docs, id_col, text_col).groupBy("id", "t").agg(F.collect_list("line_no").alias("gone"))
+    rows = docs.join(gone, docs[id_col].eqNullSafe(gone["id"]) & (F.xxhash64(docs[text_col]) == gone["t"]), "left")
     parts = F.split(docs[text_col], "\n", -1)
-    left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), docs[text_col]).otherwise(left)
-    kept = [text.alias(c) if c == text_col else docs[c] for c in docs.columns]
+    left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(gone["gone"], i)), "\n")
+    text = F.when(gone["gone"].isNull(), docs[text_col]).otherwise(left)
     return rows.select(
-        *kept,
+        *[text.alias(c) if c == text_col else docs[c] for c in docs.columns],
         F.when(docs[text_col].isNull(), 0).otherwise(F.size(parts)).cast("bigint").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("bigint").alias("n_removed"),
+        F.when(gone["gone"].isNull(), 0).otherwise(F.size(gone["gone"])).cast("bigint").alias("n_removed"),
     )
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``dedup`` on doc_id and text of documents: the same rule, stated plainly."""
+    return f"""
+WITH raw AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line_no
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)
+),
+l AS (
+  SELECT doc_id, text, raw, line_no, trim(regexp_replace(lower(raw), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), ' ') AS line FROM raw
+),
+f AS (
+  SELECT line, len(line) AS n, min({{'d': doc_id, 'n': line_no}}) AS first, row_number() OVER () AS h
+  FROM l WHERE len(line) >= {MIN_CHARS} GROUP BY line
+),
+halves AS (
+  SELECT h, line, n, first, side, n + side AS size, unnest([0, 1]) AS j FROM f, (VALUES (0), (1)) AS s(side)
+),
+keys AS (
+  SELECT h, line, n, first, side, size, j,
+    CASE j WHEN 1 THEN substr(line, 1, CAST(size // 2 AS BIGINT)) ELSE substr(line, CAST(size // 2 - side + 1 AS BIGINT)) END AS rest FROM halves
+),
+pairs AS (
+  SELECT DISTINCT a.line AS x, b.line AS y, greatest(a.first, b.first) AS first
+  FROM keys a JOIN keys b ON a.size = b.size AND a.j = b.j AND a.rest = b.rest AND a.h <> b.h WHERE a.side = 0
+),
+near AS (
+  SELECT DISTINCT first FROM pairs WHERE len(list_filter(range(CAST(len(y) + 1 AS BIGINT)), lambda k: substr(x, 1, k) = substr(y, 1, k)
+    AND substr(x, k + 2) = substr(y, CASE WHEN len(x) = len(y) THEN k + 2 ELSE k + 1 END))) > 0
+),
+marked AS (
+  SELECT l.*, len(l.line) >= {MIN_CHARS} AND (f.first <> {{'d': doc_id, 'n': line_no}} OR near.first IS NOT NULL) AS gone
+  FROM l LEFT JOIN f ON l.line = f.line LEFT JOIN near ON near.first = {{'d': doc_id, 'n': line_no}}
+),
+kept AS (
+  SELECT doc_id, text, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+    coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS left_text
+  FROM marked GROUP BY doc_id, text
+)
+SELECT d.doc_id, CASE WHEN n_removed > 0 THEN left_text ELSE d.text END AS text,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id AND k.text = d.text"""
