@@ -77,4 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLES: dict[str, str] = {"op8_decontamination": decontaminate.oracle()}
+ORACLES: dict[str, str] = {
+    "op8_decontamination": decontaminate.oracle(),
+    "op9_line_dedup": lines.oracle(),
+    "op10_suffix_dedup": suffixes.oracle(),
+}

@@ -394,3 +394,31 @@ def _finish(keyed: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
 
     rows = keyed.select("owner", "id", "doc", "text")
     return rows.groupBy("owner").cogroup(spans.groupBy("owner")).applyInArrow(apply, f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``dedup`` on documents: every string of LENGTH bytes, grouped by its hexadecimal digits."""
+    n = LENGTH
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM (SELECT DISTINCT doc_id, text FROM documents)),
+s AS (SELECT doc_id, pos, md5_number(substr(x, 2 * pos + 1, {2 * n})) AS s FROM (SELECT doc_id, x, unnest(range(len(x) // 2 - {n - 1})) AS pos FROM d)),
+again AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) AS r FROM s) WHERE r > 1
+),
+runs AS (
+  SELECT doc_id, min(pos) AS a, max(pos) + {n} AS b FROM (
+    SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (
+      SELECT doc_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= {n} THEN 0 ELSE 1 END AS fresh FROM again))
+  GROUP BY doc_id, run
+),
+kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM runs GROUP BY doc_id
+),
+parts AS (
+  SELECT d.doc_id, x, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed,
+    list_prepend(0, coalesce(b, [])) AS begins, list_append(coalesce(a, []), len(x) // 2) AS ends
+  FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+)
+SELECT doc_id, len(x) // 2 AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans,
+  sha256(unhex(list_aggregate(list_transform(range(1, len(begins) + 1), lambda i: substr(x, 2 * begins[i] + 1, 2 * (ends[i] - begins[i]))), 'string_agg', ''))) AS kept_sha256
+FROM parts"""
