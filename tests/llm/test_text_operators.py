@@ -257,6 +257,31 @@ def test_similar_documents_keep_one(spark):
     assert simhash.keep_one(docs(spark, rows)).columns == docs(spark, rows).columns
 
 
+def near_pairs(rng, changes, base=240):
+    """Pairs of texts of different words, the second with that many words changed far enough apart: 5 shingles each."""
+    for i, c in enumerate(changes):
+        w = [f"w{i}x{j}y{rng.randrange(10**6)}" for j in range(base)]
+        x = list(w)
+        for j in range(c):
+            x[4 + 6 * j] = f"n{i}x{j}"
+        yield (2 * i, " ".join(w)), (2 * i + 1, " ".join(x))
+
+
+def jaccard(a, b, k=5):
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_similar_documents_equal_brute_force_around_the_threshold(spark):
+    # 5 changes of 236 shingles: 0.81; 6: 0.77; 4: 0.84
+    pairs = list(near_pairs(random.Random(8), [4, 5, 5, 5, 6, 6, 7, 8] * 30))
+    rows = [r for p in pairs for r in p]
+    want = {a[0] for a, _ in pairs} | {b[0] for a, b in pairs if jaccard(a[1], b[1]) < 0.8}
+    shares = [jaccard(a[1], b[1]) for a, b in pairs]
+    assert sum(0.8 <= s < 0.85 for s in shares) > 50 and sum(0.7 <= s < 0.8 for s in shares) > 50
+    assert {r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()} == want
+
+
 # lines
 
 

@@ -18,7 +18,7 @@ aside share the 48 other bits and are looked up by those. Every link is verified
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -214,146 +214,247 @@ def near_duplicates(df: DataFrame, k: int = 3, id_col: str = "doc_id", text_col:
 
 # Near-duplicates by similarity, for filtering a corpus.
 
-WIDE = 8  # 64-bit words of a wide fingerprint
-BANDS, BAND_BITS = 12, 30
-#: The last 32 bits of a wide fingerprint stand in its node's number; nodes that meet by chance mostly differ in
-#: more of them than this, three standard deviations over what texts at the threshold do.
-CHECK_LIMIT = 11
-#: Members of a key that still meet in pairs; of more, each meets a few, so links are in proportion to members.
-ALL_PAIRS = 6
-
-
-def bit_limit(similarity: float, bits: int = 64 * WIDE) -> int:
-    """Differing bits at which texts count as similar. At a Jaccard similarity J the shingle counts have a
-    cosine of about 2J/(1+J), and a bit differs with the angle's share of a half turn; one standard
-    deviation is added, so that texts at the threshold are rather found than missed."""
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * share + np.sqrt(bits * share * (1 - share)))
-
-
-def _band_keys(fp: np.ndarray) -> np.ndarray:
-    """Rows x bands x variants: a band's bits, with none or one of them flipped."""
-    bits = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")[:, : BANDS * BAND_BITS]
-    value = (bits.reshape(len(fp), BANDS, BAND_BITS).astype(np.uint32) << np.arange(BAND_BITS, dtype=np.uint32)).sum(2, dtype=np.uint32)
-    flips = np.array([0, *(1 << i for i in range(BAND_BITS))], np.uint32)
-    return value[:, :, None] ^ flips
-
-
-def _group_pairs(node: np.ndarray, key: np.ndarray, flip: np.ndarray) -> np.ndarray:
-    """Candidate pairs among the nodes of equal keys (flip: the variant's number; key with that bit flipped back is
-    the node's own value): of few nodes all; of many, those of one value next to each other, or to the first, and
-    the first nodes of different values in the same way.
-
-    Two nodes share up to 31 keys of a band, and are paired at one of them: at their own value, if it is the
-    same, else at the smaller one of the two keys between their values. Their check bits must be close.
-    """
-    value = key ^ np.r_[0, 1 << np.arange(BAND_BITS)].astype(np.uint32)[flip]
-    order = np.lexsort((node, key))
-    node, key, value = node[order], key[order], value[order]
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+#: Members of a key that meet in pairs at once. Those of more are compared with a few members first, and what is
+#: not linked by then with all the others.
+ALL_PAIRS = 8
+LEADERS, ROUNDS = 4, 2
+BLOCK = 2048  # members of a key compared with as many others in one task
+COMMON = 500_000  # shingles whose frequency is known when shingles are ordered, the most frequent ones
+BROADCAST_ROWS = 500_000
+SKETCH = 16  # 64-bit words
+_EPS = 1e-9
+_ENTRY = np.dtype([("node", "<i8"), ("key", "<i8"), ("n", "<i4"), ("at", "<i4")])
+_COUNT = np.dtype([("h", "<u4"), ("n", "<u2")])
+
+
+def shingle_set(text: bytes | None, k: int) -> np.ndarray:
+    """The different shingle hashes of a text, sorted."""
+    return np.unique(np.array(shingle_hashes(text or b"", k), np.uint64))
+
+
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's hashes falls on each bit. Two sketches differ in no more bits than the
+    sets have members that are not shared."""
+    odd = np.bincount((hashes % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes of a set, rare ones before common ones: of two sets at the similarity or over, the
+    prefixes share a hash, whatever the order is, as long as it is one for all sets."""
+    size = len(hashes) - int(np.ceil(similarity * len(hashes) - _EPS)) + 1
+    rank = np.zeros(len(hashes), np.int64)
+    if len(common):
+        short = (hashes >> np.uint64(32)).astype(np.uint32)
+        i = np.minimum(np.searchsorted(common, short), len(common) - 1)
+        rank = np.where(common[i] == short, counts[i], 0)
+    return hashes[np.lexsort((hashes, rank))][: max(0, min(size, len(hashes)))]
+
+
+def _may(n_i: np.ndarray, at_i: np.ndarray, n_j: np.ndarray, at_j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes that share a hash at these places of their order can be similar."""
+    shared = np.minimum(at_i, at_j) + np.minimum(n_i - at_i, n_j - at_j)
+    return (np.minimum(n_i, n_j) >= similarity * np.maximum(n_i, n_j) - _EPS) & (shared >= similarity / (1 + similarity) * (n_i + n_j) - _EPS)
+
+
+def _group_pairs(entries: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (and 1 if they are neighbours in a key's order, else 0) of the nodes of equal keys with few
+    members, and the entries of those with many."""
+    entries = entries[np.lexsort((entries["node"], entries["key"]))]
+    node, key = entries["node"], entries["key"]
+    entries = entries[np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])][: len(key)]]
+    node, key, n, at = (entries[x] for x in ("node", "key", "n", "at"))
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
     size = np.diff(np.r_[start, len(key)])
     left, right = [np.zeros(0, int)], [np.zeros(0, int)]
     for m in range(2, ALL_PAIRS + 1):
-        at = start[size == m]
+        own = start[size == m]
         for i, j in combinations(range(m), 2):
-            left.append(at + i)
-            right.append(at + j)
-    large = np.flatnonzero(np.repeat(size, size) > ALL_PAIRS)
-    if len(large):
-        large = large[np.lexsort((node[large], value[large], key[large]))]
-        k, v = key[large], value[large]
-        new = np.r_[True, (k[1:] != k[:-1]) | (v[1:] != v[:-1])]
-        centre = large[k == v]
-        mixed_up = centre[np.lexsort((_mix(node[centre].view(np.uint64)), key[centre]))]
-        for own, star in ((large[new], True), (centre, True), (mixed_up, False)):
-            same = key[own[1:]] == key[own[:-1]]
-            left.append(own[:-1][same])
-            right.append(own[1:][same])
-            if star:
-                first = np.flatnonzero(np.r_[True, ~same][: len(own)])
-                lead = np.repeat(own[first], np.diff(np.r_[first, len(own)]))
-                left.append(lead[lead != own])
-                right.append(own[lead != own])
+            left.append(own + i)
+            right.append(own + j)
     i, j = np.concatenate(left), np.concatenate(right)
-    other = value[i] ^ value[j] ^ key[i]
-    here = np.where(value[i] == value[j], key[i] == value[i], key[i] < other)
-    pairs = np.stack([node[i[here]], node[j[here]]], 1)
-    pairs = pairs[np.bitwise_count((pairs[:, 0] ^ pairs[:, 1]) & 0xFFFFFFFF) <= CHECK_LIMIT]
-    return np.unique(np.sort(pairs, axis=1), axis=0)
+    ok = _may(n[i], at[i], n[j], at[j], similarity)
+    pairs = np.stack([node[i[ok]], node[j[ok]], (j - i == 1)[ok].astype(np.int64)], 1)  # a key's entries are in the order of nodes
+    return np.unique(pairs, axis=0), entries[np.repeat(size, size) > ALL_PAIRS]
+
+
+def _common(sets: DataFrame, shingles: int) -> tuple[np.ndarray, np.ndarray]:
+    """Upper halves of hashes that many sets have, sorted, and how many do. Left-out ones count as rare,
+    which makes keys of more members and loses nothing."""
+    spark = sets.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // 4_000_000))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                flat = np.frombuffer(b"".join(batch.column(0).slice(i, 4096).to_pylist()), np.uint64)
+                h, n = np.unique((flat >> np.uint64(32)).astype(np.uint32), return_counts=True)
+                packed = np.empty(len(h), _COUNT)
+                packed["h"], packed["n"] = h, n
+                cuts = np.searchsorted(h, (np.arange(buckets + 1) * 2**32 // buckets).astype(np.uint64))
+                own = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([packed[cuts[b] : cuts[b + 1]].tobytes() for b in own], pa.binary())], ["bucket", "packed"])
+
+    def add(table: pa.Table) -> pa.Table:
+        packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), _COUNT)
+        h, of = np.unique(packed["h"], return_inverse=True)
+        n = np.bincount(of, packed["n"]).astype(np.int64)
+        return pa.table({"h": h[n > ALL_PAIRS].astype(np.int64), "n": n[n > ALL_PAIRS]})
+
+    counted = sets.select("set").mapInArrow(emit, "bucket bigint, packed binary").groupBy("bucket").applyInArrow(add, "h bigint, n bigint")
+    held = counted.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = held.column("h").to_numpy().astype(np.uint32), held.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
 def similar_groups(df: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, t (hash of the text) and first (id and t of the group's first member) of every row.
 
-    Wide fingerprints (512 bits) of k-word shingles are compared by bands: every band emits its ball of
-    radius one, so fingerprints meet wherever a band of 30 bits differs in two bits at most. Of twelve bands
-    one does with a chance of 0.85 at a similarity of 0.8, 0.96 at 0.85 and over 0.99 from 0.9. Pairs that
-    meet are verified on all bits (``bit_limit``), and groups are what verified links connect. Texts
-    without words are equal to each other; equal texts are always one group.
+    Groups are what connects texts whose sets of k-word shingles have a Jaccard similarity of at least
+    ``similarity``. The search is exact on the 64-bit hashes of the shingles: similar sets share a hash in their
+    prefixes, every candidate is verified on the whole sets, and a pair that is not compared is connected
+    already. Texts without words are equal to each other; texts of equal sets (by a 64-bit hash of the set)
+    are one node.
+
+    Members of a key that many nodes share are compared with a few leaders in each of some rounds, then with
+    all members of other groups, in blocks; what is verified there is filtered by sizes, places and parity
+    sketches, which loses nothing.
     """
     rows = pick(df, id=id_col, text=text_col)
     spark = df.sparkSession
     kind = rows.schema["id"].dataType.simpleString()
     rows = rows.withColumn("t", F.xxhash64("text"))
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                fp = fingerprints(part.column(1).cast(pa.binary()).to_pylist(), k, WIDE)
-                check = pa.array((fp[:, -1] >> np.uint64(32)).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x.tobytes() for x in fp], pa.binary()), check], ["id", "t", "fp", "check"])
+                sets = [shingle_set(x, k).tobytes() for x in part.column(1).cast(pa.binary()).to_pylist()]
+                node = np.array([xxhash.xxh64_intdigest(x, SEED) for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node), pa.array(sets, pa.binary())], ["id", "t", "node", "set"])
 
-    number = F.shiftleft(F.xxhash64("fp"), 32).bitwiseOR(F.col("check")).alias("node")
-    own = cut(rows.mapInArrow(sketch, f"id {kind}, t bigint, fp binary, check bigint").select("id", "t", "fp", number))
-    nodes = cut(own.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.struct("id", "t")).alias("first")))
-    entries = BANDS * (BAND_BITS + 1)
-    # every bucket has one band
-    buckets = -(-max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * entries // ENTRIES)) // BANDS)
+    # the sets are larger than the texts, and made again where they are read
+    whole = rows.mapInArrow(sets_of, f"id {kind}, t bigint, node bigint, set binary")
+    own = cut(whole.select("id", "t", "node", F.length("set").alias("bytes")))
+    shingles = own.agg(F.sum("bytes")).first()[0] or 0
+    shared = spark.sparkContext.broadcast(_common(whole, shingles // 8))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(shingles / 8 * (1 - similarity)) // ENTRIES)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                node = part.column(0).to_numpy(zero_copy_only=False)
-                fp = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(len(node), WIDE)
-                key = _band_keys(fp)
-                to = (_mix(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64) + np.arange(BANDS)[:, None] * buckets
-                flip = np.broadcast_to(np.arange(BAND_BITS + 1, dtype=np.uint8), key.shape).reshape(-1)
-                key, to, node = key.reshape(-1), to.reshape(-1), np.repeat(node, entries)
+                node, sets = part.column(0).to_numpy(zero_copy_only=False), [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
+                keys = [prefix(x, common, counts, similarity) for x in sets]
+                sizes = np.array([len(x) for x in keys], np.int64)
+                out = np.empty(sizes.sum(), _ENTRY)
+                if not len(out):
+                    continue
+                out["node"], out["key"] = np.repeat(node, sizes), np.concatenate(keys).view(np.int64)
+                out["n"] = np.repeat([len(x) for x in sets], sizes)
+                out["at"] = np.concatenate([np.arange(m) for m in sizes])
+                to = (_mix(out["key"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
-                to, key, node, flip = to[order], key[order], node[order], flip[order]
+                to, out = to[order], out[order]
                 cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
                 ends = np.r_[cuts[1:], len(to)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(to[cuts]), *(pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()) for x in (node, key, flip))],
-                    ["bucket", "nodes", "keys", "flips"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(to[cuts]), pa.array([out[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], ["bucket", "packed"])
 
     def meet(table: pa.Table) -> pa.Table:
-        node = np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64)
-        key = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32)
-        pairs = _group_pairs(node, key, np.frombuffer(b"".join(table.column("flips").to_pylist()), np.uint8))
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    met = nodes.select("node", "fp").mapInArrow(emit, "bucket bigint, nodes binary, keys binary, flips binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
-    left, right = nodes.select(F.col("node").alias("a"), F.col("fp").alias("x")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("y"))
-    limit = bit_limit(similarity)
+        pairs, many = _group_pairs(np.frombuffer(b"".join(table.column("packed").to_pylist()), _ENTRY), similarity)
+        none = pa.nulls(len(pairs), pa.int64())
+        found = pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "key": none, "n": none, "at": pairs[:, 2]})
+        left = pa.table({"a": many["node"], "b": pa.nulls(len(many), pa.int64()), "key": many["key"], "n": many["n"].astype(np.int64), "at": many["at"].astype(np.int64)})
+        return pa.concat_tables([found, left])
+
+    packed = whole.select("node", "set").mapInArrow(emit, "bucket bigint, packed binary")
+    met = cut(packed.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, key bigint, n bigint, at bigint"))
+    pairs = met.where("b is not null").groupBy("a", "b").agg(F.max("at").alias("neighbours"))
+    wanted = met.select(F.col("a").alias("_n")).unionByName(met.where("b is not null").select(F.col("b").alias("_n"))).distinct()
+    wanted = cut(wanted)
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    sets = cut(whole.join(wanted, whole["node"] == wanted["_n"]).select("node", "set").dropDuplicates(["node"]))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WIDE) for c in (2, 3))
-            ok = pa.array(np.bitwise_count(x ^ y).sum(1) <= limit)
+            x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(c).to_pylist()] for c in (2, 3))
+            both = np.array([len(np.intersect1d(v, w, assume_unique=True)) for v, w in zip(x, y)], np.int64)
+            size = np.array([len(v) + len(w) for v, w in zip(x, y)], np.int64)
+            ok = pa.array(both >= similarity * (size - both) - _EPS)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
-    links = met.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
+    def verified(candidates: DataFrame) -> DataFrame:
+        left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
+        return candidates.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
+
+    # neighbours connect most families; of the other pairs, those that are still apart are left
+    links = cut(verified(pairs.where("neighbours = 1").select("a", "b")))
     roots = components(links)
+    of_a, of_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    apart = pairs.where("neighbours = 0").join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    apart = cut(apart)
+    if not apart.isEmpty():
+        roots = components(links.unionByName(verified(apart)))
+    many = met.where("b is null").select(F.col("a").alias("node"), "key", "n", "at")
+    if not many.isEmpty():
+        roots = _connect_many(many, sets, roots, verified, similarity)
+    nodes = own.groupBy("node").agg(F.min(F.struct("id", "t")).alias("first"))
     named = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     firsts = named.groupBy("root").agg(F.min("first").alias("first"))
     labels = named.select("node", "root").join(firsts, "root").select("node", "first")
     return own.select("id", "t", "node").join(labels, "node").select(F.col("id").alias(id_col), "t", "first")
 
 
+def _connect_many(many: DataFrame, sets: DataFrame, roots: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """roots, and what further links among the members of keys with many members make of them."""
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketch = [parity_sketch(np.frombuffer(x, np.uint64)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketch, pa.list_(pa.int64()))], ["node", "sketch"])
+
+    words = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
+    of = many.select("node").distinct().join(sets, "node").select("node", "set").mapInArrow(sketched, "node bigint, sketch array<bigint>").select("node", *words)
+    sketches = [f"s{i}" for i in range(SKETCH)]
+    many = cut(many.join(of, "node"))
+    n_min, n_max = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    total = F.col("x.n") + F.col("y.n")
+    apart = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in sketches), F.lit(0))
+    may = (F.col("x.root") != F.col("y.root")) & (n_min >= similarity * n_max - _EPS)
+    may &= F.least("x.at", "y.at") + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= similarity / (1 + similarity) * total - _EPS
+    may &= apart <= (1 - similarity) / (1 + similarity) * total + _EPS
+    ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+
+    def unsettled() -> DataFrame:
+        """Members of keys that still have several roots."""
+        named = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        keys = named.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_m")).where("_lo <> _hi")
+        return cut(named.join(keys, "key").withColumn("blocks", F.ceil(F.col("_m") / BLOCK).cast("int")).drop("_lo", "_hi", "_m"))
+
+    def merged(candidates: DataFrame) -> DataFrame:
+        """roots after these pairs; a root's links to its members stand for the links so far."""
+        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(candidates.distinct())))
+
+    for r in range(ROUNDS):
+        left = unsettled()
+        if left.isEmpty():
+            return roots
+        # the same leaders for all keys of a family, so that pairs of several keys are one
+        leader = [F.min(F.struct(F.xxhash64("node", F.lit(r * LEADERS + i)).alias("o"), "node", "n", "at", "root", *sketches)) for i in range(LEADERS)]
+        leaders = left.groupBy("key").agg(F.array(*leader).alias("l")).select("key", F.explode("l").alias("l")).select("key", "l.node", "l.n", "l.at", "l.root", *[f"l.{s}" for s in sketches])
+        roots = merged(left.alias("x").join(leaders.alias("y"), (F.col("x.key") == F.col("y.key")) & may).select(*ends))
+    left = unsettled()
+    if left.isEmpty():
+        return roots
+    x = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    y = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    where = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.root") < F.col("y.root"))
+    return merged(x.alias("x").join(y.alias("y"), where & may).select(*ends))
+
+
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are first in their group of near-duplicates, with all their columns. Rows that
     repeat an id and its text are one document and stay or go together."""
