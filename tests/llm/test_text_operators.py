@@ -282,6 +282,27 @@ def test_similar_documents_equal_brute_force_around_the_threshold(spark):
     assert {r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()} == want
 
 
+def test_candidate_search_loses_no_similar_pair():
+    rng = np.random.default_rng(3)
+    entries, want = [], []
+    for i in range(300):
+        n = int(rng.integers(1, 300))
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        y = np.unique(np.r_[x[rng.permutation(len(x))[: max(1, round(len(x) * rng.uniform(0.85, 1)))]], rng.integers(0, 2**64, int(n * rng.uniform(0, 0.1)), dtype=np.uint64)])
+        both = len(np.intersect1d(x, y))
+        if both >= 0.8 * (len(x) + len(y) - both):
+            want.append((2 * i, 2 * i + 1))
+        entries += [(2 * i, x), (2 * i + 1, y)]
+    common = np.sort(rng.permutation(np.concatenate([x for _, x in entries]))[:9000] >> np.uint64(32)).astype(np.uint32)
+    counts = rng.integers(9, 99, len(common))
+    packed = []
+    for node, x in entries:
+        keys = simhash.prefix(x, common, counts, 0.8)
+        packed += [(node, key, len(x), at) for at, key in enumerate(keys.view(np.int64).tolist())]
+    pairs, many = simhash._group_pairs(np.array(packed, simhash._ENTRY), 0.8)
+    assert set(want) <= set(map(tuple, pairs[:, :2].tolist())) and len(want) > 100 and not len(many)
+
+
 # lines
 
 
