@@ -303,6 +303,37 @@ def test_candidate_search_loses_no_similar_pair():
     assert set(want) <= set(map(tuple, pairs[:, :2].tolist())) and len(want) > 100 and not len(many)
 
 
+def test_similar_documents_at_common_shingles(spark, monkeypatch):
+    """Documents of one template whose shingles all are common; the true partner is any of the others."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = random.Random(9)
+    shell = [f"t{j}" for j in range(150)]
+    rows = []
+    for i in range(60):
+        x = list(shell)
+        own = rng.sample(range(0, 150), 8)
+        for j in own:
+            x[j] = f"u{i}x{j}"
+        y = list(x)
+        y[own[0]] = f"v{i}"
+        rows += [(2 * i, " ".join(x)), (2 * i + 1, " ".join(y))]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if find(i) != find(j) and jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    want = {i for i in range(len(rows)) if find(i) == i}
+    assert 30 < len(want) < 100
+    assert {r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()} == want
+
+
 # lines
 
 
