@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -508,6 +509,16 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(docs(spark, rows), known.where("false")).count() == 0
 
 
+def test_decontamination_finds_all_substitutions_in_a_window(spark):
+    w = [f"word{i}" for i in range(15)]
+    known = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    rows = []
+    for i, gone in enumerate(itertools.combinations(range(15), 3)):
+        rows.append((i, "before it " + " ".join("other" if j in gone else x for j, x in enumerate(w)) + " after it"))
+    got = {r.doc_id: (r.matched, r.first_word) for r in decontaminate.overlaps(docs(spark, rows), known).collect()}
+    assert got == {i: (12, 2) for i in range(455)}
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     known = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve")], "item_id long, text string")
     rows = docs(spark, [(1, "zero one two three four FIVE six seven eight nine ten eleven twelve"), (2, "nothing of the kind is in this text at all, is it")])
