@@ -3,8 +3,9 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tidevec.operators import join, topk, windows
-from tidevec.plans import config, environment, metrics
+from tidevec.plans import catalogue, config, environment, metrics
 from tidevec.sources import binary, simple
 from tidevec.streaming import operators as streaming
 
@@ -92,6 +93,18 @@ def test_stream_topk_and_probe(spark, feed):
     assert {(r.qid, r.uid) for r in probed.collect()} == {(r.qid, r.uid) for r in topk.within(df, base, 0.95).collect()}
 
 
+def test_stream_range_probe_sends_only_the_probes(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    sent, blocks = [], topk._blocks
+    monkeypatch.setattr(topk, "_blocks", lambda queries: sent.append(queries.count()) or blocks(queries))
+    got = entry.queries()["stream_range_probe"](spark, sf)
+    base = catalogue.E(spark, sf)
+    want = topk.within(catalogue._queries(base), base, 0.9)
+    sent = sent[:-1]
+    assert {(r.qid, r.uid) for r in got.collect()} == {(r.qid, r.uid) for r in want.collect()} and got.count() > 0
+    assert sum(sent) and max(sent) * 10 < spark.read.parquet(f"{sf}/embeddings.parquet").count()
+
+
 def test_pipelines(spark):
     env = environment.create_stream_engine(spark, {"a": 1})
     df = spark.createDataFrame([(i, i, [float(i + 0.1 * j) for j in range(4)]) for i in range(100)], S)

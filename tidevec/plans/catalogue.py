@@ -512,4 +512,5 @@ def stream_topk(spark, sf):
 @query(f"WITH {_E}, {_NEAR} SELECT qid, uid, round(exp(-0.1 * d), 6) AS sim FROM near WHERE exp(-0.1 * d) >= 0.9")
 def stream_range_probe(spark, sf):
     q = _queries(from_embeddings(_stream(spark, sf, "embeddings")))
-    return streaming.run_to_end(streaming.range_probe(q, E(spark, sf), 0.9).withColumn("sim", F.round("sim", 6)))
+    probe = streaming.range_probe_batch(E(spark, sf), 0.9)
+    return streaming.run_to_end(q, lambda b: probe(b).withColumn("sim", F.round("sim", 6)))

@@ -93,11 +93,18 @@ def topk_batches(index: DataFrame, k: int, sink: Callable[[DataFrame, int], None
 
 
 def range_probe(stream: DataFrame, index: DataFrame, threshold: float, alpha: float = vectors.ALPHA) -> DataFrame:
-    """qid, uid, sim: the records of a static index at least this similar to each arriving one. The index goes to
-    the executors in blocks, and the stream passes through."""
+    """qid, uid, sim: the records of a static index at least this similar to each arriving one. The index goes
+    through the driver to the executors in blocks, so it must be small, and the stream passes through; for an index
+    of any size use ``range_probe_batch``."""
     return search.within(index, stream, threshold, alpha).select(F.col("uid").alias("qid"), F.col("qid").alias("uid"), "sim")
 
 
+def range_probe_batch(index: DataFrame, threshold: float, alpha: float = vectors.ALPHA) -> Callable[[DataFrame], DataFrame]:
+    """``range_probe`` for the batches of ``run_to_end``: blocks of the arriving records go to the executors, and the
+    index is scanned there."""
+    return lambda batch: search.within(batch, index, threshold, alpha)
+
+
 def run_to_end(stream: DataFrame, batch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over what there is and return what it wrote, exactly once: files of a checkpointed sink in
     the shared folder. batch: applied to each micro-batch before it is written."""
