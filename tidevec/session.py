@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,8 +22,6 @@ def local_session(cores: int | str = "*", memory: str = "8g", app: str = "tideve
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.streaming.stateStore.providerClass",
-                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -34,14 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the cluster's, or one of our own where none is named, as in tests."""
-    import tempfile
-
+    """A folder that driver and executors share: the one the cluster names. In local mode, as in tests, a folder of
+    our own where none is named; a cluster without one is an error, as a machine's own folder would not do."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidevec-checkpoint-"))
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidevec-checkpoint-"))
+        current = context._jsc.sc().getCheckpointDir()
     return current.get()

@@ -18,6 +18,8 @@ from tidevec.schema import event_time
 from tidevec.session import shared_dir
 
 
+#: The state store that can hold several states of a key; Spark's default one can't.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Watermarks start at zero, so event times are moved on by so many milliseconds: timestamps may be zero or less.
 EPOCH = 1 << 40
 
@@ -61,7 +63,9 @@ def count_window(stream: DataFrame, size: int, slide: int | None = None, key: Co
 
     Tumbling windows slide by their size, sliding ones by ``slide`` (1). Rows of a batch are taken by (ts, uid);
     without a key all rows are one sequence, which one task keeps: give streams that must scale a key.
+    The session's queries use ``STATE_STORE`` from then on.
     """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     if size < 1 or (slide is not None and slide < 1):
         raise ValueError("sizes and slides are positive")
     step = size if kind == "tumbling" else slide or 1
