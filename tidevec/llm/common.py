@@ -2,25 +2,49 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from tidevec.session import shared_dir
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; set one only where none is set, as in tests."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidevec-checkpoint-"))
+#: Rows of a few numbers that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder and cut the lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``cut`` for what is read several times, a few columns at once: a Parquet table in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/tidevec-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has no more than BROADCAST_ROWS rows. It is read for that: cut it before."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with a table of distinct keys that says (column ``count``) how many of the rows each key has.
+
+    A small table is broadcast. Of a larger one, the keys of over total / BROADCAST_ROWS rows, which can't be more
+    than BROADCAST_ROWS, are broadcast, so no key meets in one task; the others are shuffled. table is read
+    several times: cut it before. how: 'inner' or 'left_semi'.
+    """
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table.drop(count)), on, how)
+    often = F.col(count) > total // BROADCAST_ROWS
+    hot = table.where(often).drop(count)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table.where(~often).drop(count), on, how)
+    return rows.join(F.broadcast(hot), on, how).unionByName(cold)
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the given names; extra columns cannot clash."""
     return df.select(*[df[old].alias(new) for new, old in columns.items()])
