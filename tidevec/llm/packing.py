@@ -22,6 +22,8 @@ ids or texts are all packed; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,39 +39,58 @@ from tidevec.llm.common import cut, pick
 
 CAPACITY = 4096
 END = 1
-CACHE = 500_000  # white-space separated chunks whose ids a worker remembers
-_ENDING = re.compile(r"[.,;:!?&#%*$()]+$")
+CACHE = 1_000_000  # white-space separated chunks whose ids a worker remembers
+#: What a tokenizer file must say for a text's ids to be those of its chunks between white space, one after another:
+#: normalisation that never reaches over white space, and a split at it. Fixed values.
+CHUNKED = {
+    "normalizer": ["NFC", {"Regex": "\\s+"}, "Lowercase"],
+    "pre_tokenizer": ["'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+", "ByteLevel"],
+}
+#: Letters that normalisation maps to single letters, so that a word of them is a token run of its own whatever signs
+#: follow: ASCII and the Latin blocks up to U+024F, without the dotted capital I, which becomes a letter and a mark.
+_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?&#%*$()]*)")
 _ODD = re.compile("[\x1c-\x1f\x85]")  # white space to Python or to the tokenizer, but not to both
 
 
-class Encoder(dict):
-    """Chunk -> its ids as bytes. White space separates tokens in this vocabulary's model, and
-    normalisation never reaches over it, so a text's ids are those of its chunks in order."""
+def is_chunked(path: str) -> bool:
+    """Whether the file's tokenizer works on chunks between white space (see ``CHUNKED``)."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normal = [n.get("pattern", n["type"]) for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    split = [p["pattern"]["Regex"] if p["type"] == "Split" else p["type"] for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] != "Split" or "Regex" in p["pattern"]]
+    return normal == CHUNKED["normalizer"] and split == CHUNKED["pre_tokenizer"]
 
-    def __init__(self, path: str):
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, chunk: str) -> bytes:
-        """Letters and signs are never one token, so a word's ids serve it before any of these signs, and in capitals."""
-        ending = _ENDING.search(chunk)
-        if ending and ending.start() and (word := chunk[: ending.start()]).isalpha():
-            ids = self[word] + self[ending[0]]
-        elif not chunk.islower() and chunk.isascii() and chunk.isalpha():
-            ids = self[chunk.lower()]
-        else:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) < 64 and len(self) < CACHE:  # frequent chunks come early
-            self[chunk] = ids
-        return ids
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids of the whole text, little-endian."""
-        if not text:
-            return b""
-        if _ODD.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join([self[chunk] for chunk in text.split()])
+class Encoder:
+    """The ids of whole texts, as little-endian bytes. Chunks between white space, and words before signs, are encoded
+    once and remembered where the tokenizer file allows it; any other file's tokenizer gets the whole texts."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the cores
+        self.tokenizer, self.chunked = Tokenizer.from_file(path), is_chunked(path)
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        whole = [i for i, t in enumerate(texts) if t and (not self.chunked or _ODD.search(t))]
+        out = dict(zip(whole, self._tokenize([texts[i] for i in whole])))
+        chunks = [[] if i in out or not t else t.split() for i, t in enumerate(texts)]
+        found = [list(map(self.known.get, c)) for c in chunks]
+        more = self._learn({c for own, got in zip(chunks, found) if None in got for c, g in zip(own, got) if g is None})
+        return [out[i] if i in out else b"".join([more[c] if g is None else g for c, g in zip(own, got)] if None in got else got) for i, (own, got) in enumerate(zip(chunks, found))]
+
+    def _tokenize(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of new chunks: of plain words with signs behind, those of the word in small letters and of the signs."""
+        parts = {c: [x for x in (m[1].lower(), m[2]) if x] if (m := _WORD.fullmatch(c)) else [c] for c in chunks}
+        needed = [x for x in {x for p in parts.values() for x in p} if x not in self.known]
+        new = dict(zip(needed, self._tokenize(needed)))
+        out = {c: b"".join([new[x] if x in new else self.known[x] for x in p]) for c, p in parts.items()}
+        for c, ids in (new | out).items():
+            if len(c) < 64 and len(self.known) < CACHE:  # frequent chunks come early
+                self.known[c] = ids
+        return out
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
@@ -86,8 +107,8 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 owner, piece, start, length, crc, all_ids = [], [], [], [], [], []
-                for j, text in enumerate(part.column(1).to_pylist()):
-                    raw = encode(text) + end
+                for j, raw in enumerate(encode(part.column(1).to_pylist())):
+                    raw += end
                     for n, at in enumerate(range(0, len(raw), step)):
                         own = raw[at : at + step]
                         owner.append(j)
