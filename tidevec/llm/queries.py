@@ -14,18 +14,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All license detections of documents: words, base phrases, labels and score. Null texts are empty."""
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("detections")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4096 tokens. Null texts are the end id alone; repeated rows are all packed."""
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 3-word shingles and components within 3 bits. Null and empty texts have fingerprint zero and link like any other."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt from labels of the rows that are not held out. Null and empty texts get the score of no voter firing."""
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~_held_out(4, 2))
     found = toxicity.score(docs, model)
@@ -33,11 +37,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored in an Ogg container and read back. Null texts are empty and padded to 64 bytes."""
     return ogg.round_trip(_table(spark, sf_dir, "documents"))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract_pages(_table(spark, sf_dir, "pages"))
+    """The main text of every page; empty for null or empty html and for pages without one."""
+    return html_text.extract(_table(spark, sf_dir, "pages"), url_col="url").select("page_id", "url", "text", "n_chars")
 
 
 def _held_out(modulus: int, remainder: int) -> Column:
@@ -46,6 +52,7 @@ def _held_out(modulus: int, remainder: int) -> Column:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the rows that are not held out; und for texts without a letter."""
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs, ~_held_out(3, 1))
     found = langid.identify(docs, model)
@@ -53,14 +60,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that overlap. Null and empty texts overlap nothing."""
     return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier place has, but for one edit. Null texts stay null."""
     return lines.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes of 100-byte strings that start earlier. Null texts are empty."""
     return suffixes.dedup(_table(spark, sf_dir, "documents"))
 
 
@@ -78,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_html_extraction": html_text.oracle(),
     "op8_decontamination": decontaminate.oracle(),
     "op9_line_dedup": lines.oracle(),
     "op10_suffix_dedup": suffixes.oracle(),

@@ -1,19 +1,27 @@
 """Toxicity scores by weak supervision.
 
-Voters look at a text's words: hand-written lexicons and patterns, and lexicons mined
-from labelled rows (words and word beginnings that stand out in toxic texts). A
-generative label model, a latent class with class-conditional firing rates, estimates
-the accuracy of each voter and the correlations between voters given the class, which
-discount voters that say the same, by expectation maximisation. Its posterior labels
-train a logistic regression on the voters' counts, which scores every text.
-
-The model is fitted on a bounded sample of labelled rows (``FIT_ROWS``); the scores
-cover every row and every whole text. Inputs of a score are the text's words only.
+Voters (``VOTERS`` hand-written ones, and mined ones) look at a text's words: small
+lexicons by kind of insult and language, patterns, and words and word beginnings that
+stand out in toxic texts, the strongest a voter each and the others in tiers. A generative label
+model, a latent class with class-conditional firing rates, is fitted to the votes of
+labelled and unlabelled rows alike by expectation maximisation. It estimates the
+accuracy of each voter, and the correlations between voters given the class, which
+discount voters that say the same. Labels anchor it: the rates start from labelled rows,
+which count in every estimate as what they are. No posterior sees its row's label: all
+come from the votes alone. The posterior labels of all these rows, labelled or not, train a
+logistic regression on the voters' counts, which scores every text.
+
+The model is fitted on bounded samples (``FIT_ROWS`` labelled rows, as many unlabelled
+ones, ``FIT_CHARS`` characters in either); words are mined on one half of the labelled
+rows and the rates they start from measured on the other. The scores cover every row
+and every whole text. Inputs of a score are the text's words only.
 
 Defined cases: null and empty texts get the score of a text in which no voter fires;
 with no labelled rows, or none of one class, the hand-written voters alone decide.
 Labels that are null, or whose id is null, are not used; of several labels of an id the
-largest counts. Repeated rows give repeated results; extra columns are dropped.
+largest counts. Texts of any length are scored whole, in time proportional to their
+length. Repeated rows give repeated results; extra columns are dropped; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,33 +37,78 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidevec.llm.common import pick
 
-FIT_ROWS = 8000  # bound on the labelled rows a model is fitted on
+FIT_ROWS = 8000  # bound on the labelled rows a model is fitted on, and on the unlabelled ones
+FIT_CHARS = 40_000_000  # bound on the characters of either
+SINGLE = 40  # mined entries that are a voter each
+PRIOR = 5  # rows that a voter's common rate counts for in either class
+FEWEST = 5  # texts, and one in a thousand, that a voter with a say fires on
+LIFT = 4  # how much more often a voter with a say fires in the toxic class
 MINED = 2000  # entries of the mined lexicons at most
 #: Mined lexicons, a voter each, by the least strength of their entries (see ``mine``).
 TIERS = (0.7, 1.2, 1.8, 2.5, 3.5)
 SHORTEST, LONGEST = 3, 8  # letters in a mined word beginning
 THRESHOLD = 0.3
 ROUNDS = 15
-ANNOTATOR = 0.98  # accuracy of the labels themselves, as a voter
 CACHE = 400_000
 
 #: Hand-written lexicons, a voter each. An entry with a star is a beginning of words.
 LEXICONS = {
-    "insult": "idiot idiots moron morons imbecile stupid dumb dumbass fool loser losers clown clowns jerk dimwit halfwit nitwit retard* cretin buffoon simpleton blockhead",
-    "contempt": "pathetic worthless useless disgusting despicable contemptible vile revolting repulsive filthy filth trash garbage scum scumbag vermin parasite* lowlife",
-    "profanity": "fuck* shit* bullshit bitch* bastard* asshole* arsehole* cunt* dick dickhead* prick wanker* twat* whore* slut* crap damn piss*",
-    "threat": "kill murder stab strangle slaughter lynch hang exterminate annihilate rape*",
-    "hate": "hate hateful subhuman* nazi* savages infidel* degenerate* inferior",
-    "german": "idiot* dumm* blöd* trottel* arschloch* scheiß* scheiss* wichser* hurensohn* schlampe* fotze* drecksau* dreck* abschaum* missgeburt* versager* widerlich* ekelhaft* erbärmlich* wertlos* abartig*",
-    "french": "idiot* imbécile* connard* connasse* salope* salaud* putain* pute* merde* enculé* crétin* abruti* débile* minable* pathétique* ordure* dégueulasse* dégoûtant* raclure* bâtard*",
-    "spanish": "idiota* imbécil* estúpid* tont* gilipollas* cabrón* cabron* puta* puto* mierda* pendejo* joder* basura* asqueros* patétic* escoria* inútil* maldit* bastard* zorra*",
+    "stupidity": "stupid stupidity dumb dumber dumbest dumbass",
+    "idiocy": "idiot idiots idiotic moron morons moronic imbecile imbeciles cretin cretins",
+    "halfwits": "dimwit dimwits halfwit halfwits nitwit nitwits simpleton blockhead airhead bonehead numbskull dunce",
+    "ableism": "retard* spastic psycho lunatic",
+    "fools": "fool fools clown clowns buffoon jester joke jokes",
+    "losers": "loser losers failure failures nobody",
+    "jerks": "jerk jerks creep creeps bully snob brat hypocrite liar liars coward cowards",
+    "pity": "pathetic pitiful miserable laughable ridiculous",
+    "worth": "worthless useless pointless hopeless incompetent",
+    "disgust": "disgusting disgusted disgust repulsive revolting gross sickening nauseating",
+    "contempt": "despicable contemptible vile shameful disgrace disgraceful",
+    "filth": "filthy filth dirty dirtbag slime slimy sleaze",
+    "garbage": "trash trashy garbage rubbish junk",
+    "scum": "scum scumbag scumbags lowlife lowlifes",
+    "vermin": "vermin parasite* rat rats pig pigs cockroach* maggot* leech*",
+    "animals": "animal animals beast beasts ape apes savage savages",
+    "ugliness": "ugly hideous fat fatso smelly stinking",
+    "fuck": "fuck* motherfuck* wtf",
+    "shit": "shit* bullshit crap crappy",
+    "bitch": "bitch* bastard* whore* slut* skank*",
+    "arse": "asshole* arsehole* ass arse jackass dumbass",
+    "genitals": "cunt* dick dickhead* prick twat* wanker* tosser*",
+    "oaths": "damn damned goddamn hell bloody piss*",
+    "killing": "kill murder slaughter strangle stab",
+    "violence": "lynch hang beat punch smash rape*",
+    "extinction": "exterminate annihilate eradicate gas",
+    "hate": "hate hateful loathe despise detest",
+    "degradation": "subhuman* inferior degenerate* mongrel*",
+    "ideology": "nazi* fascist* racist* bigot* infidel* terrorist*",
+    "silencing": "stfu gtfo kys shut",
+    "german idiots": "idiot* dumm* blöd* trottel* depp* schwachkopf*",
+    "german obscenity": "arschloch* arsch* scheiß* scheiss* wichser* fotze* verdammt*",
+    "german persons": "hurensohn* schlampe* drecksau* missgeburt* versager* schwein*",
+    "german disgust": "dreck* abschaum* widerlich* ekelhaft* abartig*",
+    "german contempt": "erbärmlich* wertlos* nutzlos* jämmerlich*",
+    "french idiots": "idiot* imbécile* crétin* abruti* débile* stupid*",
+    "french obscenity": "connard* connasse* salope* salaud* putain* merde* enculé* bâtard*",
+    "french contempt": "minable* pathétique* nul nuls lamentable*",
+    "french disgust": "ordure* dégueulasse* dégoûtant* raclure* déchet*",
+    "spanish idiots": "idiota* imbécil* estúpid* tont* bobo*",
+    "spanish obscenity": "gilipollas* cabrón* cabron* puta* puto* mierda* pendejo* joder* zorra*",
+    "spanish contempt": "patétic* inútil* maldit* miserable* fracasad*",
+    "spanish disgust": "basura* asqueros* escoria* asco",
 }
-#: Patterns over the words joined by spaces, a voter each.
+#: Patterns over the words joined by spaces, a voter each, with words of which a text needs one for it.
 PATTERNS = {
-    "address": r"\b(?:you|u|ur|your|youre) (?:are |re |r )?(?:a |an |such a |so |just |all )?(?:idiots?|morons?|stupid|dumb|losers?|clowns?|pathetic|worthless|trash|scum|disgusting)\b",
-    "command": r"\b(?:shut up|go to hell|drop dead|kill yourself|get lost|screw you|kys|stfu|gtfo)\b",
-    "wish": r"\b(?:hope|wish) (?:you|they|he|she) (?:die|dies|rot|burn|suffer)\b",
+    "address": (r"\b(?:you|u|ur|your|youre) (?:are |re |r )?(?:a |an |such a |so |just |all )?(?:idiots?|morons?|stupid|dumb|losers?|clowns?|pathetic|worthless|trash|scum|disgusting)\b", "you u ur your youre"),
+    "third person": (r"\b(?:he|she|they|he s|she s|theyre) (?:are |is |re )?(?:a |an |such a |so |just |all )?(?:idiots?|morons?|stupid|dumb|losers?|clowns?|pathetic|worthless|trash|scum|disgusting)\b", "he she they theyre"),
+    "shut up": (r"\b(?:shut up|shut your)\b", "shut"),
+    "go away": (r"\b(?:go to hell|get lost|piss off|fuck off|screw you)\b", "go get piss fuck screw"),
+    "die": (r"\b(?:drop dead|kill yourself|go die)\b", "drop kill go"),
+    "wish": (r"\b(?:hope|wish) (?:you|they|he|she) (?:die|dies|rot|burn|suffer)\b", "hope wish"),
+    "piece of": (r"\bpiece of (?:trash|garbage|shit|crap|scum|filth)\b", "piece"),
+    "kind": (r"\b(?:your|their) kind\b", "kind"),
 }
+VOTERS = len(LEXICONS) + len(PATTERNS)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -115,13 +168,6 @@ class Counts:
         return out
 
 
-_NEEDS = {
-    "address": "you u ur your youre",
-    "command": "shut go drop kill get screw kys stfu gtfo",
-    "wish": "hope wish",
-}
-
-
 def _voters(mined: list[tuple[str, float]]) -> Model:
     """The hand-written voters and the mined ones, without weights yet."""
     names, exact, starts, patterns = [], {}, {}, []
@@ -129,12 +175,16 @@ def _voters(mined: list[tuple[str, float]]) -> Model:
         for entry in text.split():
             (starts if entry.endswith("*") else exact).setdefault(entry.rstrip("*"), []).append(len(names))
         names.append(name)
-    for name, regex in PATTERNS.items():
-        patterns.append((len(names), regex, tuple(_NEEDS[name].split())))
+    for name, (regex, need) in PATTERNS.items():
+        patterns.append((len(names), regex, tuple(need.split())))
         names.append(name)
-    for entry, strength in mined:
-        tier = sum(strength > least for least in TIERS) - 1
-        (starts if entry.endswith("*") else exact).setdefault(entry.rstrip("*"), []).append(len(names) + tier)
+    for i, (entry, strength) in enumerate(mined):
+        if i < SINGLE:
+            voter = len(names)
+            names.append(f"mined {entry}")
+        else:
+            voter = VOTERS + min(SINGLE, len(mined)) + sum(strength > least for least in TIERS) - 1
+        (starts if entry.endswith("*") else exact).setdefault(entry.rstrip("*"), []).append(voter)
     names += [f"mined over {least}" for least in TIERS]
     return Model(names, exact, starts, patterns, np.zeros(len(names)), 0.0)
 
@@ -180,39 +230,49 @@ def mine(texts: list[str], toxic: np.ndarray, most: int = MINED) -> list[tuple[s
     return list(zip(out, strength))
 
 
-def label_model(votes: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Posterior labels of a latent class model of the votes (rows x voters, 0 or 1), started at the labels.
+def with_silence(votes: np.ndarray) -> np.ndarray:
+    """The votes, and one for the other class where no voter fires. Voters are for one language or kind of insult each,
+    so that a single one is silent says nothing; that all are does."""
+    return np.column_stack([votes, ~votes.any(axis=1)]).astype(np.float64)
 
-    The annotation is a voter of known accuracy (``ANNOTATOR``). Rates are re-estimated from the posteriors
-    with the labelled rates as a prior of weight one half. Correlations are those of the voters' residuals
-    given the class; a voter's evidence is divided by one plus the variance it shares with the others.
-    """
-    v = votes.astype(np.float64)
-    y = toxic.astype(np.float64)
 
-    def rates(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        return (q @ v + 0.5) / (q.sum() + 1), ((1 - q) @ v + 0.5) / ((1 - q).sum() + 1), float((q.sum() + 1) / (len(q) + 2))
+def label_model(votes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, dict]:
+    """Posterior labels of a latent class model of the votes (rows x voters, 0 or 1), and what it estimates.
 
-    prior = rates(y)
-    alpha, beta, pi = prior
-    annotated = np.log(ANNOTATOR / (1 - ANNOTATOR)) * (2 * y - 1)
-    q, rho = y, np.zeros((v.shape[1],) * 2)
+    known: the class of some rows (1 or 0; -1 where it isn't known; -2 for rows that voters were made from, which
+    would flatter them and count in no estimate). The known rows say what the classes are: the estimates
+    start from them, and they count as what they are in every later one, while other rows count by their
+    posterior. The posteriors returned come from the votes alone, for all rows. A voter that doesn't fire abstains, and
+    one that isn't ``LIFT`` times as frequent in the toxic class as in the other, or fires on very few texts, has no say. Correlations are those of the
+    voters' residuals given the class; a voter's evidence is divided by one plus the variance it shares with the
+    others. A voter's accuracy is the share of the texts it fires on that are toxic (of silence: that are not).
+    """
+    v = with_silence(votes)
+    pi = float(((known == 1).sum() + 1) / ((known >= 0).sum() + 2))
+    q, discount, rho = np.where(known == 1, 1.0, 0.0), np.ones(v.shape[1]), np.zeros((v.shape[1],) * 2)
+    counts = np.where(known >= 0, 1.0, 0.0)  # at first, the known rows only
     for _ in range(ROUNDS):
+        # a few rows of the common rate in either class, so that a voter that rarely fires has no say by chance
+        rate = (counts @ v + 0.5) / (counts.sum() + 1)
+        alpha = ((q * counts) @ v + PRIOR * rate) / ((q * counts).sum() + PRIOR)
+        beta = (((1 - q) * counts) @ v + PRIOR * rate) / (((1 - q) * counts).sum() + PRIOR)
+        says = (alpha > LIFT * beta) & (v.sum(0) >= max(FEWEST, len(v) / 1000))
+        says[-1] = True
+        odds = np.log(pi / (1 - pi)) + v @ (np.log(alpha / beta) * discount * says)
+        posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        q, counts = np.where(known >= 0, known == 1, posterior), np.where(known > -2, 1.0, 0.0)
         residual = v - q[:, None] * alpha - (1 - q[:, None]) * beta
         deviation = np.sqrt((residual**2).mean(0)) + 1e-9
         rho = np.abs(residual.T @ residual / len(v) / deviation / deviation[:, None])
         np.fill_diagonal(rho, 0)
-        rho[rho < 0.2] = 0  # chance
-        discount = 1 / (1 + (rho**2).sum(0))
-        fire, rest = np.log(alpha / beta) * discount, np.log((1 - alpha) / (1 - beta)) * discount
-        odds = np.log(pi / (1 - pi)) + v @ fire + (1 - v) @ rest + annotated
-        q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        new = rates(q)
-        alpha, beta, pi = ((a + b) / 2 for a, b in zip(new, prior))
-    return q, {"alpha": alpha, "beta": beta, "prior": pi, "correlation": rho}
+        rho[rho < 0.3] = 0  # chance
+        discount = 1 / (1 + (rho[says] ** 2).sum(0))
+    accuracy = pi * alpha / (pi * alpha + (1 - pi) * beta)
+    accuracy[-1] = 1 - accuracy[-1]
+    return posterior, {"alpha": alpha, "beta": beta, "prior": pi, "correlation": rho, "accuracy": accuracy, "says": says}
 
 
-def _logistic(x: np.ndarray, q: np.ndarray, penalty: float = 0.5) -> tuple[np.ndarray, float]:
+def _logistic(x: np.ndarray, q: np.ndarray, penalty: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on soft labels, by Newton steps; the bias is not penalised."""
     z = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
@@ -229,33 +289,56 @@ def _logistic(x: np.ndarray, q: np.ndarray, penalty: float = 0.5) -> tuple[np.nd
     return w[:-1], float(w[-1])
 
 
-def fit(texts: list[str | None], labels: list[int]) -> Model:
+def counted(model: Model, texts: list[str | None]) -> np.ndarray:
+    """log(1 + how often) each voter fires on each text."""
+    counts = model.counter()
+    x = np.zeros((len(texts), len(model.names)))
+    for i, text in enumerate(texts):
+        for j, n in counts.fired(text).items():
+            x[i, j] = np.log1p(n)
+    return x
+
+
+def fit(texts: list[str | None], labels: list[int], unlabelled: list[str | None] = ()) -> Model:
+    """A model of labelled and unlabelled texts. Entries are mined on every other labelled text; the rates the label
+    model starts from are those of the texts in between, where no entry was mined."""
     toxic = np.array(labels, bool)
     if not toxic.any() or toxic.all():
         model = _voters([])
         model.weights[:] = 2.0
         model.bias = -3.0
         return model
-    model = _voters(mine(texts, toxic))
-    counts = model.counter()
-    x = np.zeros((len(texts), len(model.names)))
-    for i, text in enumerate(texts):
-        for j, n in counts.fired(text).items():
-            x[i, j] = np.log1p(n)
-    posterior, _ = label_model(x > 0, toxic)
+    half = np.zeros(len(toxic), bool)
+    for kind in (True, False):
+        half[np.flatnonzero(toxic == kind)[::2]] = True
+    model = _voters(mine([t for t, h in zip(texts, half) if h], toxic[half]))
+    x = counted(model, [*texts, *unlabelled])
+    votes = x > 0
+    known = np.full(len(x), -1)
+    known[: len(toxic)] = np.where(half, -2, toxic)
+    posterior, found = label_model(votes, known)
+    x[:, ~found["says"][:-1]] = 0
     model.weights, model.bias = _logistic(x, posterior)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on at most about fit_rows labelled documents, of those whose id ``keep`` (a column of labels) allows."""
+def train(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> Model:
+    """Fit on at most about fit_rows labelled documents, of those whose id ``keep`` (a column of the id) allows, and on as
+    many others that it allows, chosen by hashes, with at most about fit_chars characters in either."""
     known = labels.where(keep & F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic"))
-    n = known.count()
-    if n > fit_rows:
-        known = known.where(F.xxhash64("id") < F.lit(int(fit_rows / n * 2**64) - 2**63))
-    rows = pick(docs, id=id_col, text=text_col).join(F.broadcast(known), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    sample = rows.toArrow().sort_by("id")
-    return fit(sample.column("text").to_pylist(), sample.column("toxic").to_pylist())
+    n, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length(text_col).cast("double")), F.lit(0.0))).first()
+    rows = min(fit_rows, fit_chars / max(chars / max(n, 1), 1.0))  # of average length
+
+    def share(df: DataFrame, of: int) -> DataFrame:
+        return df if of <= rows else df.where(F.xxhash64("id") < F.lit(int(rows / of * 2**64) - 2**63))
+
+    known = share(known, known.count())
+    allowed = docs.where(keep)
+    one = F.min("text").alias("text")
+    labelled = pick(allowed, id=id_col, text=text_col).join(F.broadcast(known), "id").groupBy("id").agg(one, F.max("toxic").alias("toxic"))
+    others = share(pick(allowed, id=id_col, text=text_col), n).join(F.broadcast(known), "id", "left_anti").groupBy("id").agg(one)
+    sample, more = labelled.toArrow().sort_by("id"), others.toArrow().sort_by("id")
+    return fit(sample.column("text").to_pylist(), sample.column("toxic").to_pylist(), more.column("text").to_pylist())
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
