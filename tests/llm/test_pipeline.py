@@ -60,4 +60,5 @@ def test_stages_on_edge_cases(spark):
             if not docs.isEmpty() and name == "line_dedup":
                 assert sorted((r.text or "")[:10] for r in rows) == ["", "", "", "", "a few plai", "x" * 10]
             if not docs.isEmpty() and name == "near_dedup":
-                assert len(rows) in (3, 4)
+                # the empty ones and the null one are a group, and so are the equal texts, of which the null id comes first
+                assert sorted((str(r.doc_id), (r.text or "")[:3]) for r in rows) == [("1", ""), ("4", "xxx"), ("None", "a f")]

@@ -39,7 +39,7 @@ from tidevec.llm.common import cut, pick
 
 CAPACITY = 4096
 END = 1
-CACHE = 1_000_000  # white-space separated chunks whose ids a worker remembers
+CACHE = 400_000  # white-space separated chunks whose ids a worker remembers
 #: What a tokenizer file must say for a text's ids to be those of its chunks between white space, one after another:
 #: normalisation that never reaches over white space, and a split at it. Fixed values.
 CHUNKED = {

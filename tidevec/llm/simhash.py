@@ -18,7 +18,7 @@ aside share the 48 other bits and are looked up by those. Every link is verified
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidevec.llm.common import cut, pick
+from tidevec.llm.common import cut, pick, small, stored
 from tidevec.llm.components import components
 
 SEED = 42
@@ -217,14 +217,12 @@ def near_duplicates(df: DataFrame, k: int = 3, id_col: str = "doc_id", text_col:
 #: Members of a key that meet in pairs at once. Those of more are compared with a few members first, and what is
 #: not linked by then with all the others.
 ALL_PAIRS = 8
-LEADERS, ROUNDS = 4, 2
+LEADERS, ROUNDS = 4, 1
 BLOCK = 2048  # members of a key compared with as many others in one task
 COMMON = 500_000  # shingles whose frequency is known when shingles are ordered, the most frequent ones
-BROADCAST_ROWS = 500_000
 SKETCH = 16  # 64-bit words
 _EPS = 1e-9
 _ENTRY = np.dtype([("node", "<i8"), ("key", "<i8"), ("n", "<i4"), ("at", "<i4")])
-_COUNT = np.dtype([("h", "<u4"), ("n", "<u2")])
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
@@ -239,6 +237,14 @@ def parity_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
+def majority(hashes: np.ndarray) -> np.int64:
+    """The fingerprint of a set: a bit is 1 if set in over half the hashes."""
+    if not len(hashes):
+        return np.int64(0)
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0]
+
+
 def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """The first hashes of a set, rare ones before common ones: of two sets at the similarity or over, the
     prefixes share a hash, whatever the order is, as long as it is one for all sets."""
@@ -258,8 +264,7 @@ def _may(n_i: np.ndarray, at_i: np.ndarray, n_j: np.ndarray, at_j: np.ndarray, s
 
 
 def _group_pairs(entries: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (and 1 if they are neighbours in a key's order, else 0) of the nodes of equal keys with few
-    members, and the entries of those with many."""
+    """Candidate pairs of the nodes of equal keys with few members, and the entries of those with many."""
     entries = entries[np.lexsort((entries["node"], entries["key"]))]
     node, key = entries["node"], entries["key"]
     entries = entries[np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])][: len(key)]]
@@ -274,8 +279,7 @@ def _group_pairs(entries: np.ndarray, similarity: float) -> tuple[np.ndarray, np
             right.append(own + j)
     i, j = np.concatenate(left), np.concatenate(right)
     ok = _may(n[i], at[i], n[j], at[j], similarity)
-    pairs = np.stack([node[i[ok]], node[j[ok]], (j - i == 1)[ok].astype(np.int64)], 1)  # a key's entries are in the order of nodes
-    return np.unique(pairs, axis=0), entries[np.repeat(size, size) > ALL_PAIRS]
+    return np.unique(np.stack([node[i[ok]], node[j[ok]]], 1), axis=0), entries[np.repeat(size, size) > ALL_PAIRS]
 
 
 def _common(sets: DataFrame, shingles: int) -> tuple[np.ndarray, np.ndarray]:
@@ -285,20 +289,25 @@ def _common(sets: DataFrame, shingles: int) -> tuple[np.ndarray, np.ndarray]:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // 4_000_000))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted hashes as steps, low and high halves and counts apart, which compress well."""
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 flat = np.frombuffer(b"".join(batch.column(0).slice(i, 4096).to_pylist()), np.uint64)
                 h, n = np.unique((flat >> np.uint64(32)).astype(np.uint32), return_counts=True)
-                packed = np.empty(len(h), _COUNT)
-                packed["h"], packed["n"] = h, n
                 cuts = np.searchsorted(h, (np.arange(buckets + 1) * 2**32 // buckets).astype(np.uint64))
                 own = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([packed[cuts[b] : cuts[b + 1]].tobytes() for b in own], pa.binary())], ["bucket", "packed"])
+                packed = []
+                for b in own:
+                    part = slice(cuts[b], cuts[b + 1])
+                    step = np.diff(h[part], prepend=np.uint32(0))
+                    packed.append(np.stack([step & 0xFFFF, step >> 16, n[part]]).astype("<u2").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(packed, pa.binary())], ["bucket", "packed"])
 
     def add(table: pa.Table) -> pa.Table:
-        packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), _COUNT)
-        h, of = np.unique(packed["h"], return_inverse=True)
-        n = np.bincount(of, packed["n"]).astype(np.int64)
+        parts = [np.frombuffer(x, "<u2").reshape(3, -1) for x in table.column("packed").to_pylist()]
+        hashes = np.concatenate([np.cumsum(x[0].astype(np.uint32) | (x[1].astype(np.uint32) << 16), dtype=np.uint32) for x in parts])
+        h, of = np.unique(hashes, return_inverse=True)
+        n = np.bincount(of, np.concatenate([x[2] for x in parts])).astype(np.int64)
         return pa.table({"h": h[n > ALL_PAIRS].astype(np.int64), "n": n[n > ALL_PAIRS]})
 
     counted = sets.select("set").mapInArrow(emit, "bucket bigint, packed binary").groupBy("bucket").applyInArrow(add, "h bigint, n bigint")
@@ -308,52 +317,128 @@ def _common(sets: DataFrame, shingles: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
+class _Sets:
+    """Texts as sets of shingle hashes. A node is a set; texts of equal sets (by a 64-bit hash) are one node."""
+
+    def __init__(self, df: DataFrame, k: int, similarity: float, id_col: str, text_col: str):
+        self.k, self.similarity = k, similarity
+        self.rows = pick(df, id=id_col, text=text_col).withColumn("t", F.xxhash64("text"))
+        self.kind = self.rows.schema["id"].dataType.simpleString()
+        # sets are larger than the texts, and made again where they are read
+        own = self._of(self.rows, "id", "t", "node", "n", "fp", *[f"s{i}" for i in range(SKETCH)])
+        self.own = stored(own)
+        first = F.min(F.struct("id", "t")).alias("first")
+        # equal sets have equal sketches
+        columns = ["n", "fp", *[f"s{i}" for i in range(SKETCH)]]
+        self.nodes = stored(self.own.groupBy("node").agg(first, *[F.min(c).alias(c) for c in columns]))
+
+    def _of(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """Columns of the sets of rows (id, t, text, and others)."""
+        k, names = self.k, list(rows.columns)
+        kinds = {"node": "bigint", "n": "int", "fp": "bigint", "set": "binary"} | {f"s{i}": "bigint" for i in range(SKETCH)}
+        schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString() if c in names else kinds[c]}" for c in columns)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 512):
+                    part = batch.slice(i, 512)
+                    sets = [shingle_set(x, k) for x in part.column(names.index("text")).cast(pa.binary()).to_pylist()]
+                    made = {"set": lambda: pa.array([x.tobytes() for x in sets], pa.binary()), "n": lambda: pa.array(map(len, sets), pa.int32())}
+                    made["node"] = lambda: pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64))
+                    made["fp"] = lambda: pa.array(np.array([majority(x) for x in sets], np.int64))
+                    if "s0" in columns:
+                        sketch = np.stack([parity_sketch(x) for x in sets]) if sets else np.zeros((0, SKETCH), np.int64)
+                        made |= {f"s{j}": lambda j=j: pa.array(sketch[:, j]) for j in range(SKETCH)}
+                    yield pa.RecordBatch.from_arrays([part.column(names.index(c)) if c in names else made[c]() for c in columns], list(columns))
+
+        return rows.mapInArrow(run, schema)
+
+    def whole(self) -> DataFrame:
+        """node and set of every row."""
+        return self._of(self.rows.select("text"), "node", "set")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b: nodes) whose sets are similar. Sizes and parity sketches leave few to compare, and only their
+        sets are made."""
+        s = self.similarity
+        words = [f"s{i}" for i in range(SKETCH)]
+        side = lambda c: self.nodes.select(F.col("node").alias(c), F.struct("n", *words).alias(f"_{c}"))
+        apart = sum((F.bit_count(F.col(f"_a.{w}").bitwiseXOR(F.col(f"_b.{w}"))) for w in words), F.lit(0))
+        total = F.col("_a.n") + F.col("_b.n")
+        may = (F.least("_a.n", "_b.n") >= s * F.greatest("_a.n", "_b.n") - _EPS) & (apart <= (1 - s) / (1 + s) * total + _EPS)
+        pairs = cut(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b"))
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        holders = small(cut(self.nodes.join(wanted, "node", "left_semi").select("node", F.col("first.id").alias("_id"), F.col("first.t").alias("_t"))))
+        held = self.rows.join(holders, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("node", "text")
+        sets = self._of(held.withColumnRenamed("node", "of"), "of", "set").dropDuplicates(["of"])
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(c).to_pylist()] for c in (2, 3))
+                both = np.array([len(np.intersect1d(v, w, assume_unique=True)) for v, w in zip(x, y)], np.int64)
+                size = np.array([len(v) + len(w) for v, w in zip(x, y)], np.int64)
+                ok = pa.array(both >= s * (size - both) - _EPS)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+
+        left, right = sets.select(F.col("of").alias("a"), F.col("set").alias("x")), sets.select(F.col("of").alias("b"), F.col("set").alias("y"))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
+
+
+def _ball_roots(sets: _Sets) -> DataFrame:
+    """(node, root) of what connects by fingerprints within three bits, as far as the sets are similar: every node
+    is compared with one node of its component, and what is not similar to that is left to the search by prefixes."""
+    fps = cut(sets.nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    named = fps.join(components(ball_links(fps)), fps["fp"] == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    centre = named.join(fps.select(F.col("fp").alias("root"), F.col("least").alias("b")), "root").select("fp", "b")
+    stars = sets.nodes.select("fp", F.col("node").alias("a")).join(centre, "fp").where("a <> b").select("a", "b")
+    return components(sets.verified(stars))
+
+
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that roots don't connect yet."""
+    of_a, of_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in "ab")
+    return pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots after these links; a root's links to its members stand for the links so far."""
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+
 def similar_groups(df: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, t (hash of the text) and first (id and t of the group's first member) of every row.
 
     Groups are what connects texts whose sets of k-word shingles have a Jaccard similarity of at least
-    ``similarity``. The search is exact on the 64-bit hashes of the shingles: similar sets share a hash in their
-    prefixes, every candidate is verified on the whole sets, and a pair that is not compared is connected
-    already. Texts without words are equal to each other; texts of equal sets (by a 64-bit hash of the set)
-    are one node.
+    ``similarity``. Ball hashing finds the fingerprints within three bits first. Texts of that similarity can
+    differ in many more bits, so what it leaves apart is searched exactly on the 64-bit hashes of the shingles: similar
+    sets share a hash in their prefixes, every candidate is verified on the whole sets, and a pair that is not compared
+    is connected already. Texts without words are equal to each other; null texts have none. Null ids come first; rows that repeat an
+    id and its text are one document. An empty table gives an empty result.
 
     Members of a key that many nodes share are compared with a few leaders in each of some rounds, then with
     all members of other groups, in blocks; what is verified there is filtered by sizes, places and parity
     sketches, which loses nothing.
     """
-    rows = pick(df, id=id_col, text=text_col)
     spark = df.sparkSession
-    kind = rows.schema["id"].dataType.simpleString()
-    rows = rows.withColumn("t", F.xxhash64("text"))
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                sets = [shingle_set(x, k).tobytes() for x in part.column(1).cast(pa.binary()).to_pylist()]
-                node = np.array([xxhash.xxh64_intdigest(x, SEED) for x in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node), pa.array(sets, pa.binary())], ["id", "t", "node", "set"])
-
-    # the sets are larger than the texts, and made again where they are read
-    whole = rows.mapInArrow(sets_of, f"id {kind}, t bigint, node bigint, set binary")
-    own = cut(whole.select("id", "t", "node", F.length("set").alias("bytes")))
-    shingles = own.agg(F.sum("bytes")).first()[0] or 0
-    shared = spark.sparkContext.broadcast(_common(whole, shingles // 8))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(shingles / 8 * (1 - similarity)) // ENTRIES)
+    sets = _Sets(df, k, similarity, id_col, text_col)
+    roots = _ball_roots(sets)
+    shingles = sets.own.agg(F.sum("n")).first()[0] or 0
+    shared = spark.sparkContext.broadcast(_common(sets.whole(), shingles))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(shingles * (1 - similarity)) // ENTRIES)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                node, sets = part.column(0).to_numpy(zero_copy_only=False), [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
-                keys = [prefix(x, common, counts, similarity) for x in sets]
+                node, own = part.column(0).to_numpy(zero_copy_only=False), [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
+                keys = [prefix(x, common, counts, similarity) for x in own]
                 sizes = np.array([len(x) for x in keys], np.int64)
                 out = np.empty(sizes.sum(), _ENTRY)
                 if not len(out):
                     continue
                 out["node"], out["key"] = np.repeat(node, sizes), np.concatenate(keys).view(np.int64)
-                out["n"] = np.repeat([len(x) for x in sets], sizes)
+                out["n"] = np.repeat([len(x) for x in own], sizes)
                 out["at"] = np.concatenate([np.arange(m) for m in sizes])
                 to = (_mix(out["key"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
@@ -365,61 +450,27 @@ def similar_groups(df: DataFrame, k: int = 5, similarity: float = 0.8, id_col: s
     def meet(table: pa.Table) -> pa.Table:
         pairs, many = _group_pairs(np.frombuffer(b"".join(table.column("packed").to_pylist()), _ENTRY), similarity)
         none = pa.nulls(len(pairs), pa.int64())
-        found = pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "key": none, "n": none, "at": pairs[:, 2]})
+        found = pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "key": none, "n": none, "at": none})
         left = pa.table({"a": many["node"], "b": pa.nulls(len(many), pa.int64()), "key": many["key"], "n": many["n"].astype(np.int64), "at": many["at"].astype(np.int64)})
         return pa.concat_tables([found, left])
 
-    packed = whole.select("node", "set").mapInArrow(emit, "bucket bigint, packed binary")
-    met = cut(packed.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, key bigint, n bigint, at bigint"))
-    pairs = met.where("b is not null").groupBy("a", "b").agg(F.max("at").alias("neighbours"))
-    wanted = met.select(F.col("a").alias("_n")).unionByName(met.where("b is not null").select(F.col("b").alias("_n"))).distinct()
-    wanted = cut(wanted)
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    sets = cut(whole.join(wanted, whole["node"] == wanted["_n"]).select("node", "set").dropDuplicates(["node"]))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(c).to_pylist()] for c in (2, 3))
-            both = np.array([len(np.intersect1d(v, w, assume_unique=True)) for v, w in zip(x, y)], np.int64)
-            size = np.array([len(v) + len(w) for v, w in zip(x, y)], np.int64)
-            ok = pa.array(both >= similarity * (size - both) - _EPS)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
-
-    def verified(candidates: DataFrame) -> DataFrame:
-        left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-        return candidates.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
-
-    # neighbours connect most families; of the other pairs, those that are still apart are left
-    links = cut(verified(pairs.where("neighbours = 1").select("a", "b")))
-    roots = components(links)
-    of_a, of_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-    apart = pairs.where("neighbours = 0").join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    apart = cut(apart)
-    if not apart.isEmpty():
-        roots = components(links.unionByName(verified(apart)))
+    packed = sets.whole().mapInArrow(emit, "bucket bigint, packed binary")
+    met = stored(packed.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, key bigint, n bigint, at bigint"))
+    roots = _merged(roots, sets.verified(_rooted(met.where("b is not null").select("a", "b"), roots)))
     many = met.where("b is null").select(F.col("a").alias("node"), "key", "n", "at")
     if not many.isEmpty():
-        roots = _connect_many(many, sets, roots, verified, similarity)
-    nodes = own.groupBy("node").agg(F.min(F.struct("id", "t")).alias("first"))
-    named = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+        roots = _connect_many(many, sets, roots)
+    named = sets.nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     firsts = named.groupBy("root").agg(F.min("first").alias("first"))
     labels = named.select("node", "root").join(firsts, "root").select("node", "first")
-    return own.select("id", "t", "node").join(labels, "node").select(F.col("id").alias(id_col), "t", "first")
+    return sets.own.select("id", "t", "node").join(labels, "node").select(F.col("id").alias(id_col), "t", "first")
 
 
-def _connect_many(many: DataFrame, sets: DataFrame, roots: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+def _connect_many(many: DataFrame, sets: _Sets, roots: DataFrame) -> DataFrame:
     """roots, and what further links among the members of keys with many members make of them."""
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sketch = [parity_sketch(np.frombuffer(x, np.uint64)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketch, pa.list_(pa.int64()))], ["node", "sketch"])
-
-    words = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
-    of = many.select("node").distinct().join(sets, "node").select("node", "set").mapInArrow(sketched, "node bigint, sketch array<bigint>").select("node", *words)
+    similarity = sets.similarity
     sketches = [f"s{i}" for i in range(SKETCH)]
-    many = cut(many.join(of, "node"))
+    many = stored(many.join(sets.nodes.select("node", *sketches), "node"))
     n_min, n_max = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     total = F.col("x.n") + F.col("y.n")
     apart = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in sketches), F.lit(0))
@@ -432,11 +483,7 @@ def _connect_many(many: DataFrame, sets: DataFrame, roots: DataFrame, verified:
         """Members of keys that still have several roots."""
         named = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         keys = named.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_m")).where("_lo <> _hi")
-        return cut(named.join(keys, "key").withColumn("blocks", F.ceil(F.col("_m") / BLOCK).cast("int")).drop("_lo", "_hi", "_m"))
-
-    def merged(candidates: DataFrame) -> DataFrame:
-        """roots after these pairs; a root's links to its members stand for the links so far."""
-        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(candidates.distinct())))
+        return stored(named.join(keys, "key").withColumn("blocks", F.ceil(F.col("_m") / BLOCK).cast("int")).drop("_lo", "_hi", "_m"))
 
     for r in range(ROUNDS):
         left = unsettled()
@@ -445,19 +492,19 @@ def _connect_many(many: DataFrame, sets: DataFrame, roots: DataFrame, verified:
         # the same leaders for all keys of a family, so that pairs of several keys are one
         leader = [F.min(F.struct(F.xxhash64("node", F.lit(r * LEADERS + i)).alias("o"), "node", "n", "at", "root", *sketches)) for i in range(LEADERS)]
         leaders = left.groupBy("key").agg(F.array(*leader).alias("l")).select("key", F.explode("l").alias("l")).select("key", "l.node", "l.n", "l.at", "l.root", *[f"l.{s}" for s in sketches])
-        roots = merged(left.alias("x").join(leaders.alias("y"), (F.col("x.key") == F.col("y.key")) & may).select(*ends))
+        roots = _merged(roots, sets.verified(left.alias("x").join(leaders.alias("y"), (F.col("x.key") == F.col("y.key")) & may).select(*ends)))
     left = unsettled()
     if left.isEmpty():
         return roots
     x = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     y = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     where = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.root") < F.col("y.root"))
-    return merged(x.alias("x").join(y.alias("y"), where & may).select(*ends))
+    return _merged(roots, sets.verified(x.alias("x").join(y.alias("y"), where & may).select(*ends)))
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are first in their group of near-duplicates, with all their columns. Rows that
     repeat an id and its text are one document and stay or go together."""
     gone = similar_groups(docs, k, similarity, id_col, text_col).where(~F.struct(id_col, "t").eqNullSafe(F.col("first")))
-    gone = gone.select(F.col(id_col).alias("_id"), F.col("t").alias("_t")).distinct()
+    gone = small(cut(gone.select(F.col(id_col).alias("_id"), F.col("t").alias("_t")).distinct()))
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_t"]), "left_anti")

@@ -4,23 +4,29 @@ Which places count as suffixes. Only equal strings need to meet, and equal strin
 LENGTH bytes choose the same place inside them: that of the smallest hash among their
 ``SEED``-byte substrings. The strings of a document that choose one place form a
 stretch, so a document is a few stretches (about 3 for 100 bytes), each with the hash of
-its seed and that of its whole content, from prefix polynomial hashes.
+its seed and that of its whole content, from prefix polynomial hashes. Seeds that a
+first pass finds in many texts (a common phrase, a ruler) are chosen last, wherever they
+stand, so stretches around a common seed do not meet at it; common contents are reduced
+to their first place in each task before anything is shuffled.
 
 Stretches meet by the hash of their seed. Of those with equal content all but the first
-go as a whole. Where one seed has stretches of different content, the first of each
+go as a whole, once their bytes have been compared with the first one's: runs of such
+matches between two documents fetch the earlier one's bytes once. Where one seed has stretches of different content, the first of each
 content fetch their bytes and their suffixes from the seed on are sorted: a mergesort
 whose comparisons find the common extension of two suffixes by binary search over
 prefix hashes, so they take a logarithmic number of steps, and then compare one byte.
 Neighbours' common extensions divide the sorted suffixes into classes for every length,
-and those with equal bytes before the seed share a string; its first place stays. Every
-match that was found by hashes is verified on the bytes.
+and those with equal bytes before the seed share a string; its first place stays. So every
+match that was found by hashes is verified on the bytes, and none is removed otherwise.
 
 Data travel packed, a binary value for many stretches, and are divided by hashes of
-seeds, or of ids, over a number of buckets in proportion to the input.
+seeds, or by ids, over a number of buckets in proportion to the input.
 
-Defined cases: a null text is empty; ids are integers and name documents, so repeated
-rows are one document and all get its result; a null id comes before all others.
-Texts shorter than LENGTH are kept whole. An empty table gives an empty result.
+Defined cases: a null text is empty; ids are integers (other types are an error); rows
+that repeat an id and its text are one document and all get its result; rows of one id with
+unlike texts are documents of their own, ordered by a hash of the text; a null id comes
+before all others. Texts shorter than LENGTH are kept whole; longer ones are read in
+sections, of any number. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,21 +36,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from tidevec.llm.common import cut, pick
+from tidevec.llm.common import cut, pick, small
 
 LENGTH = 100
 SEED = 32
 SECTION = 1_000_000  # bytes looked at at once, of a document or of several
 BUCKET_BYTES = 6_000_000  # of text a bucket
-BROADCAST_ROWS = 1_000_000
+OFTEN = 3  # times that a seed stands in a section to be counted as common
+SETTLE = 8  # rounds of looking for common seeds in a section
+COMMON = 100_000  # common seeds at most that are chosen last
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(42).integers(1, 1 << 63, 256, dtype=np.uint64)
 _NULL = np.iinfo(np.int64).min
 _powers: dict[int, np.ndarray] = {}
+#: Of packed values: of places, a text has less than 2^31 bytes; to, to_t and to_lo name the later of two equal stretches.
+_KINDS = {
+    "g": np.uint64, "s": np.uint64, "doc": np.int64, "t": np.int32, "lo": np.int32, "w": np.uint8, "off": np.uint8,
+    "n": np.int32, "to": np.int64, "to_t": np.int32, "to_lo": np.int32,
+}
+STRETCH = ("g", "s", "doc", "t", "lo", "w", "off")
+MATCH = ("doc", "t", "lo", "n", "to", "to_t", "to_lo")
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -87,39 +103,52 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def stretches(parts: list[tuple[int, int, bytes, int]]) -> dict[str, np.ndarray]:
-    """Stretches of (document, place of the first byte, bytes, number of strings that start in them).
+def stretches(parts: list[tuple[int, int, int, bytes, int]], common: np.ndarray | None = None, memo: dict | None = None) -> dict[str, np.ndarray]:
+    """Stretches of (document, text hash, place of the first byte, bytes, number of strings that start in them).
 
-    g: hash of the seed; s: of the content; doc; lo: first string's start; w: strings less one; off: seed from lo.
+    g: hash of the seed; s: of the content; doc, t; lo: first string's start; w: strings less one; off: seed from lo.
+    common: hashes of seeds (sorted) to be chosen only where a string has no others. memo: kept from a call for the same parts.
     """
-    buf = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
+    buf = np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
     n = len(buf)
-    empty = {"g": np.zeros(0, np.uint64), "s": np.zeros(0, np.uint64), "doc": np.zeros(0, np.int64), "lo": np.zeros(0, np.int64), "w": np.zeros(0, np.uint8), "off": np.zeros(0, np.uint8)}
+    empty = {c: np.zeros(0, _KINDS[c]) for c in STRETCH}
     if n < LENGTH:
         return empty
-    size = np.array([len(p[2]) for p in parts])
+    size = np.array([len(p[3]) for p in parts])
     begin = np.cumsum(size) - size
     starts = np.zeros(n + 1, np.int32)
-    count = np.array([p[3] for p in parts])
+    count = np.array([p[4] for p in parts])
     np.add.at(starts, begin[count > 0], 1)
     np.add.at(starts, (begin + count)[count > 0], -1)
     p = np.flatnonzero(np.cumsum(starts[:-1]) > 0)
     if not len(p):
         return empty
-    prefix = Prefix(buf)
     at = np.arange(n - SEED + 1)
-    g = _mix(prefix.of(at, SEED))
-    place = (_sliding_min((g >> _U(24) << _U(24)) | at.astype(np.uint64), LENGTH - SEED + 1) & _U(0xFFFFFF)).astype(np.int64)[p]
+    if not memo:
+        memo = {} if memo is None else memo
+        memo["prefix"] = Prefix(buf)
+        memo["g"] = _mix(memo["prefix"].of(at, SEED))
+    prefix, g = memo["prefix"], memo["g"]
+    rank = g >> _U(24) << _U(24)
+    if common is not None and len(common):
+        few = np.zeros(1 << 16, bool)  # most seeds are told apart by some bits
+        few[(common & _U(0xFFFF)).astype(np.int64)] = True
+        i = np.flatnonzero(few[(g & _U(0xFFFF)).astype(np.int64)])
+        j = np.minimum(np.searchsorted(common, g[i]), len(common) - 1)
+        rank[i[common[j] == g[i]]] = _U(0xFFFFFFFFFF000000)
+    place = (_sliding_min(rank | at.astype(np.uint64), LENGTH - SEED + 1) & _U(0xFFFFFF)).astype(np.int64)[p]
     first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (p[1:] != p[:-1] + 1)])
     last = np.r_[first[1:], len(p)] - 1
     lo, hi, a = p[first], p[last], place[first]
     s = _mix(prefix.of(lo, hi - lo + LENGTH) ^ _mix(((hi - lo) << 8 | (a - lo)).astype(np.uint64)))
     owner = np.searchsorted(begin, lo, "right") - 1
-    doc, base = np.array([x[0] for x in parts], np.int64), np.array([x[1] for x in parts], np.int64)
-    return {"g": g[a], "s": s, "doc": doc[owner], "lo": lo - begin[owner] + base[owner], "w": (hi - lo).astype(np.uint8), "off": (a - lo).astype(np.uint8)}
+    doc, t, base = (np.array([x[c] for x in parts], np.int64) for c in (0, 1, 2))
+    return {
+        "g": g[a], "s": s, "doc": doc[owner], "t": t[owner].astype(np.int32), "lo": (lo - begin[owner] + base[owner]).astype(np.int32),
+        "w": (hi - lo).astype(np.uint8), "off": (a - lo).astype(np.uint8),
+    }
 
 
-_KINDS = {"g": np.uint64, "s": np.uint64, "doc": np.int64, "lo": np.int64, "w": np.uint8, "off": np.uint8, "n": np.int32}
 
 
 def _packed(key: np.ndarray, fields: dict[str, np.ndarray], name: str) -> pa.RecordBatch:
@@ -135,38 +164,50 @@ def _packed(key: np.ndarray, fields: dict[str, np.ndarray], name: str) -> pa.Rec
     return pa.RecordBatch.from_arrays(columns, [name, *fields])
 
 
-def _unpacked(table: pa.Table, names: list[str]) -> dict[str, np.ndarray]:
-    return {c: np.frombuffer(b"".join(table.column(c).to_pylist()), _KINDS[c]) for c in names}
+def _unpacked(table: pa.Table, names: tuple[str, ...] | list[str]) -> dict[str, np.ndarray]:
+    return {c: np.frombuffer(b"".join([x for x in table.column(c).to_pylist() if x is not None]), _KINDS[c]) for c in names}
 
 
 def _bucket(x: np.ndarray, n: int) -> np.ndarray:
     return (_mix(x.view(np.uint64) + _U(0x9E3779B97F4A7C15)) % _U(n)).astype(np.int64)
 
 
-def _owner(doc: np.ndarray, n: int) -> np.ndarray:
-    """pmod(xxhash64(doc), n) of Spark, so that spans go where the texts go."""
-    p1, p2, p3, p4, p5 = (_U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, r: (x << _U(r)) | (x >> _U(64 - r))
-    h = (p5 + _U(42 + 8)) ^ (turn(doc.view(np.uint64) * p2, 31) * p1)
-    h = turn(h, 27) * p1 + p4
-    h = (h ^ (h >> _U(33))) * p2
-    h = (h ^ (h >> _U(29))) * p3
-    return np.mod((h ^ (h >> _U(32))).view(np.int64), n)
-
-
-def whole_matches(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Of stretches by seed: those that go, as equal content stands earlier, and the firsts of
-    their content where a seed has several contents."""
-    order = np.lexsort((x["lo"], x["doc"], x["s"], x["g"]))
-    g, s, doc, lo = (x[c][order] for c in ("g", "s", "doc", "lo"))
-    new_s = np.r_[True, (g[1:] != g[:-1]) | (s[1:] != s[:-1])]
-    new_g = np.r_[True, g[1:] != g[:-1]]
-    again = np.r_[False, (doc[1:] == doc[:-1]) & (lo[1:] == lo[:-1])] & ~new_s  # a repeated row
+def _owner(doc: np.ndarray, t: np.ndarray, n: int) -> np.ndarray:
+    """Which of n groups of documents one is in: plain arithmetic, which ``_removals`` states in SQL functions too."""
+    return np.mod(doc ^ t.astype(np.int64), n)
+
+
+def whole_matches(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Of stretches by seed: matches of those whose content (by its hash) stands earlier with the first of that content;
+    the firsts; and the firsts of seeds with several contents."""
+    order = np.lexsort((x["lo"], x["t"], x["doc"], x["s"], x["g"]))
+    g, s, doc, t, lo = (x[c][order] for c in ("g", "s", "doc", "t", "lo"))
+    new_s = np.r_[True, (g[1:] != g[:-1]) | (s[1:] != s[:-1])][: len(g)]
+    new_g = np.r_[True, g[1:] != g[:-1]][: len(g)]
     head = np.flatnonzero(new_s)[np.cumsum(new_s) - 1]
-    same_place = (doc == doc[head]) & (lo == lo[head])
-    gone = order[~new_s & ~again & ~same_place]
+    # a place that equals the first one, or the one before it, comes from a repeated row
+    again = np.r_[False, (doc[1:] == doc[:-1]) & (t[1:] == t[:-1]) & (lo[1:] == lo[:-1])][: len(g)] & ~new_s
+    gone = np.flatnonzero(~new_s & ~again & ~((doc == doc[head]) & (t == t[head]) & (lo == lo[head])))
+    first, own = order[head[gone]], order[gone]
+    matches = {"doc": x["doc"][first], "t": x["t"][first], "lo": x["lo"][first], "n": x["w"][own].astype(np.int32) + LENGTH, "to": x["doc"][own], "to_t": x["t"][own], "to_lo": x["lo"][own]}
     contents = np.bincount((np.cumsum(new_g) - 1)[new_s])
-    return gone, order[new_s & (contents[np.cumsum(new_g) - 1] > 1)]
+    return matches, order[new_s], order[new_s & (contents[np.cumsum(new_g) - 1] > 1)] if len(g) else order
+
+
+def joined_matches(m: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Matches between the same two documents at the same distance, overlapping or touching, become one."""
+    order = np.lexsort((m["lo"], m["to_lo"].astype(np.int64) - m["lo"], m["to_t"], m["to"], m["t"], m["doc"]))
+    m = {c: x[order] for c, x in m.items()}
+    pair = np.zeros(len(order), bool)
+    for c in ("doc", "t", "to", "to_t"):
+        pair[1:] |= m[c][1:] != m[c][:-1]
+    far = m["to_lo"].astype(np.int64) - m["lo"]
+    pair[1:] |= far[1:] != far[:-1]
+    pair[:1] = True
+    number = np.cumsum(pair)
+    of, lo, n = _merge(number, m["lo"].astype(np.int64), m["n"].astype(np.int64))
+    at = np.searchsorted(number, of, "left")
+    return {"doc": m["doc"][at], "t": m["t"][at], "lo": lo, "n": n, "to": m["to"][at], "to_t": m["to_t"][at], "to_lo": lo + far[at]}
 
 
 class Suffixes:
@@ -230,15 +271,17 @@ class Suffixes:
 def partial_matches(x: dict[str, np.ndarray], segments: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(stretch, start of a string in the segment) for each string that an earlier stretch has too.
 
-    x: g, doc, lo, w, off of the stretches; segments: their bytes one after another.
+    x: g, doc, t, lo, w, off of the stretches; segments: their bytes one after another.
     """
+    if not len(x["g"]):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     size = x["w"].astype(np.int64) + LENGTH
     begin = np.cumsum(size) - size
     by = np.argsort(x["g"], kind="stable")
     buf = np.frombuffer(segments, np.uint8)
     begin, size = begin[by], size[by]
-    g, doc, lo, w, off = (x[c][by] for c in ("g", "doc", "lo", "w", "off"))
-    w, off = w.astype(np.int64), off.astype(np.int64)
+    g, doc, t, lo, w, off = (x[c][by] for c in ("g", "doc", "t", "lo", "w", "off"))
+    lo, w, off = lo.astype(np.int64), w.astype(np.int64), off.astype(np.int64)
     suffixes = Suffixes(buf, begin + off, begin + size)
     order = suffixes.sort(g)
     common = np.zeros(len(order), np.int64)
@@ -256,7 +299,7 @@ def partial_matches(x: dict[str, np.ndarray], segments: bytes) -> tuple[np.ndarr
         i = order[has]
         start = begin[i] + off[i] - o
         left = suffixes.prefix.of(start, o)
-        rank = np.lexsort((lo[i] + off[i], doc[i], left, interval))
+        rank = np.lexsort((lo[i] + off[i], t[i], doc[i], left, interval))
         i, start, interval, left = i[rank], start[rank], interval[rank], left[rank]
         while len(i):
             again = np.r_[False, (interval[1:] == interval[:-1]) & (left[1:] == left[:-1])]
@@ -265,7 +308,7 @@ def partial_matches(x: dict[str, np.ndarray], segments: bytes) -> tuple[np.ndarr
             ok = np.empty(len(own), bool)
             for k in range(0, len(own), 20_000):  # the bytes decide
                 ok[k : k + 20_000] = (buf[start[own[k : k + 20_000], None] + reach] == buf[start[first[k : k + 20_000], None] + reach]).all(1)
-            earlier = (doc[i[own]] != doc[i[first]]) | (lo[i[own]] + off[i[own]] != lo[i[first]] + off[i[first]])
+            earlier = (doc[i[own]] != doc[i[first]]) | (t[i[own]] != t[i[first]]) | (lo[i[own]] + off[i[own]] != lo[i[first]] + off[i[first]])
             found_i.append(by[i[own[ok & earlier]]])
             found_p.append((start[own] - begin[i[own]])[ok & earlier])
             other = own[~ok]  # equal hashes of other bytes are looked at again among themselves
@@ -290,99 +333,177 @@ def _merge(doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return doc[at], lo[at], stops - lo[at]
 
 
+def _numbered(doc: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different documents (rows of id and text hash) in order, and each one's number."""
+    return np.unique(np.stack([doc, t.astype(np.int64)], 1), axis=0, return_inverse=True)
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     return _finish(*_removals(docs, id_col, text_col), id_col)
 
 
+def _sections(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int, int, bytes, int]]]:
+    """Lists of (document, text hash, place, bytes, strings that start there) of about SECTION bytes each. batch: doc, t, text."""
+    parts, size = [], 0
+    for doc, t, raw in zip(*(batch.column(c).to_pylist() for c in (0, 1)), batch.column(2).cast(pa.binary()).to_pylist()):
+        for i in range(0, max(1, len(raw) - LENGTH + 1), SECTION):
+            part = raw[i : i + SECTION + LENGTH - 1]
+            parts.append((doc, t, i, part, max(0, len(part) - LENGTH + 1)))
+            size += len(part)
+            if size >= SECTION:
+                yield parts
+                parts, size = [], 0
+    yield parts
+
+
+def _common_seeds(own: DataFrame) -> np.ndarray:
+    """Sorted hashes of the seeds that stand in most stretches, of those that stand in several of a section. Which ones they
+    are changes how stretches meet, not what is found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for parts in _sections(batch):
+                memo, known, often = {}, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                for _ in range(SETTLE):
+                    x = stretches(parts, known, memo)
+                    # of one content, one stretch counts
+                    g, n = np.unique(np.unique(np.stack([x["g"], x["s"]], 1), axis=0)[:, 0], return_counts=True)
+                    new = (n >= OFTEN) & ~np.isin(g, known)
+                    if not new.any():
+                        break
+                    # without these, strings choose others, which can be common too: a phrase and a letter beside it
+                    known, often = np.r_[known, g[new]], np.r_[often, n[new]]
+                    order = np.argsort(known)
+                    known, often = known[order], often[order]
+                yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(often)], ["g", "n"])
+
+    found = own.select("doc", "t", "text").mapInArrow(run, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+    return np.sort(found.orderBy(F.desc("n"), "g").limit(COMMON).select("g").toArrow().column("g").to_numpy().view(np.uint64))
+
+
 def _removals(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The texts with their id, doc (the id, null as the smallest) and owner; and the spans to remove, packed by owner."""
+    """The texts with their id, doc (the id, null as the smallest), t (hash of the text) and owner; and by owner, packed, the
+    spans to remove, some with the bytes that must stand there."""
     spark = docs.sparkSession
-    own = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
+    own = pick(docs, id=id_col, text=text_col)
+    if own.schema["id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must be an integer column")
+    own = own.select(F.col("id").cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = own.withColumn("doc", F.coalesce("id", F.lit(_NULL))).withColumn("t", F.hash("text"))
     total = own.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    packed = "g binary, s binary, doc binary, lo binary, w binary, off binary"
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES)) | 1
+    common = spark.sparkContext.broadcast(_common_seeds(own))
+    kinds = ", ".join(f"{c} binary" for c in STRETCH)
+    local = [f"m_{c}" for c in MATCH]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(parts: list) -> Iterator[pa.RecordBatch]:
-            x = stretches(parts)
-            if len(x["g"]):
-                yield _packed(_bucket(x["g"], buckets), x, "bucket")
-
+        """Stretches by bucket, the first of each content, and the matches with those, which travel with them."""
         for batch in batches:
-            parts, size = [], 0
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                doc = _NULL if doc is None else doc
-                for i in range(0, max(1, len(raw) - LENGTH + 1), SECTION):
-                    part = raw[i : i + SECTION + LENGTH - 1]
-                    parts.append((doc, i, part, max(0, len(part) - LENGTH + 1)))
-                    size += len(part)
-                    if size >= SECTION:
-                        yield from out(parts)
-                        parts, size = [], 0
-            yield from out(parts)
+            for parts in _sections(batch):
+                x = stretches(parts, common.value)
+                if not len(x["g"]):
+                    continue
+                x["bucket"] = _bucket(x["g"], buckets)
+                matches, firsts, _ = whole_matches(x)
+                rows = _packed(x["bucket"][firsts], {c: x[c][firsts] for c in STRETCH}, "bucket")
+                for name in local:
+                    rows = rows.append_column(name, pa.nulls(rows.num_rows, pa.binary()))
+                yield rows
+                if len(matches["doc"]):
+                    more = _packed(_owner(matches["doc"], matches["t"], buckets), {f"m_{c}": matches[c] for c in MATCH}, "bucket")
+                    none = [pa.nulls(more.num_rows, pa.binary())] * len(STRETCH)
+                    yield pa.RecordBatch.from_arrays([more.column(0), *none, *more.columns[1:]], ["bucket", *STRETCH, *local])
 
     def meet(table: pa.Table) -> pa.Table:
-        x = _unpacked(table, ["g", "s", "doc", "lo", "w", "off"])
-        gone, firsts = whole_matches(x)
-        spans = _merge(x["doc"][gone], x["lo"][gone], x["w"][gone].astype(np.int64) + LENGTH)
-        n = spans[2].astype(np.int32)
-        out = pa.Table.from_batches([_packed(_owner(spans[0], buckets), {"doc": spans[0], "lo": spans[1], "n": n}, "owner")])
-        more = pa.Table.from_batches([_packed(_owner(x["doc"][firsts], buckets), {c: x[c][firsts] for c in ("doc", "lo", "g", "w", "off")}, "owner")])
-        return pa.concat_tables([out, more], promote_options="default").select(["owner", "doc", "lo", "n", "g", "w", "off"])
-
-    first = own.mapInArrow(scan, f"bucket bigint, {packed}").groupBy("bucket").applyInArrow(meet, "owner bigint, doc binary, lo binary, n binary, g binary, w binary, off binary")
-    first = cut(first)
-    requests = first.where("n is null").drop("n")
-    spans = first.where("n is not null").select("owner", "doc", "lo", "n")
-
-    # documents with stretches whose bytes are needed
+        """By owner of the earlier document: matches, and stretches whose bytes are needed."""
+        x = _unpacked(table, STRETCH)
+        matches, _, several = whole_matches(x)
+        before = {c: np.frombuffer(b"".join([v for v in table.column(f"m_{c}").to_pylist() if v is not None]), _KINDS[c]) for c in MATCH}
+        matches = joined_matches({c: np.concatenate([matches[c], before[c]]).astype(_KINDS[c]) for c in MATCH})
+        out = pa.Table.from_batches([_packed(_owner(matches["doc"], matches["t"], buckets), {c: matches[c].astype(_KINDS[c]) for c in MATCH}, "owner")])
+        asked = {c: x[c][several] for c in ("doc", "t", "lo", "g", "w", "off")}
+        more = pa.Table.from_batches([_packed(_owner(asked["doc"], asked["t"], buckets), asked, "owner")])
+        return pa.concat_tables([out, more], promote_options="default").select(["owner", *MATCH, "g", "w", "off"])
+
+    scanned = own.select("doc", "t", "text").mapInArrow(scan, f"bucket bigint, {kinds}, {', '.join(f'{c} binary' for c in local)}")
+    by_owner = ", ".join(f"{c} binary" for c in (*MATCH, "g", "w", "off"))
+    first = cut(scanned.groupBy("bucket").applyInArrow(meet, f"owner bigint, {by_owner}"))
+
+    # documents whose bytes are needed
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64)))], ["doc"])
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found, _ = _numbered(np.frombuffer(d, np.int64), np.frombuffer(t, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1].astype(np.int32))], ["doc", "t"])
 
-    wanted = cut(requests.select("doc").mapInArrow(names, "doc bigint").distinct())
-    keyed = own.withColumn("doc", F.coalesce("id", F.lit(_NULL)))
-    some = keyed.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "doc", "left_semi")
+    wanted = cut(first.select("doc", "t").mapInArrow(names, "doc bigint, t int").distinct())
+    keyed = own.withColumn("owner", F.pmod(F.col("doc").bitwiseXOR(F.col("t").cast("bigint")), F.lit(buckets)))
+    some = keyed.join(small(wanted), ["doc", "t"], "left_semi").select("owner", "doc", "t", "text")
 
     def fetch(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The bytes of the wanted stretches, by seed."""
-        x = _unpacked(right, ["doc", "lo", "g", "w", "off"])
-        texts = dict(zip(left.column("doc").to_pylist(), left.column("text").cast(pa.binary()).to_pylist()))
-        segments = [texts[d][i : i + n].ljust(n, b"\0") for d, i, n in zip(x["doc"].tolist(), x["lo"].tolist(), (x["w"].astype(int) + LENGTH).tolist())]
-        to = _bucket(x["g"], buckets)
-        order = np.argsort(to, kind="stable")
-        out = _packed(to, {c: x[c] for c in ("g", "doc", "lo", "w", "off")}, "bucket")
-        sizes = np.bincount(to, minlength=buckets)[out.column(0).to_numpy()].tolist() if len(to) else []
-        joined, i = [], 0
-        for n in sizes:
-            joined.append(b"".join([segments[j] for j in order[i : i + n]]))
-            i += n
-        return pa.Table.from_batches([out.append_column("bytes", pa.array(joined, pa.binary()))])
-
-    to_owner = F.pmod(F.xxhash64("doc"), F.lit(buckets))
-    got = some.select(to_owner.alias("owner"), "doc", "text").groupBy("owner").cogroup(requests.groupBy("owner"))
-    got = got.applyInArrow(fetch, "bucket bigint, g binary, doc binary, lo binary, w binary, off binary, bytes binary")
+        """The bytes of the wanted stretches, by seed; and those of matches, by the later document's owner."""
+        texts = dict(zip(zip(left.column("doc").to_pylist(), left.column("t").to_pylist()), left.column("text").cast(pa.binary()).to_pylist()))
+        asked = right.filter(pa.compute.is_valid(right.column("g")))
+        x = _unpacked(asked, ["doc", "t", "lo", "g", "w", "off"])
+        m = joined_matches(_unpacked(right.filter(pa.compute.is_null(right.column("g"))), MATCH))
+        n = x["w"].astype(np.int64) + LENGTH
+        requests = _with_bytes(texts, _bucket(x["g"], buckets), {c: x[c] for c in ("doc", "t", "lo", "g", "w", "off")}, x["doc"], x["t"], x["lo"], n)
+        spans = {"doc": m["to"], "t": m["to_t"], "lo": m["to_lo"].astype(np.int32), "n": m["n"].astype(np.int32)}
+        matches = _with_bytes(texts, _owner(m["to"], m["to_t"], buckets), spans, m["doc"], m["t"], m["lo"], m["n"])
+        return pa.concat_tables([requests, matches], promote_options="default").select(["bucket", "doc", "t", "lo", "g", "w", "off", "n", "bytes"])
+
+    got = some.groupBy("owner").cogroup(first.groupBy("owner"))
+    got = got.applyInArrow(fetch, "bucket bigint, doc binary, t binary, lo binary, g binary, w binary, off binary, n binary, bytes binary")
 
     def sort(table: pa.Table) -> pa.Table:
-        x = _unpacked(table, ["g", "doc", "lo", "w", "off"])
-        i, p = partial_matches(x, b"".join(table.column("bytes").to_pylist()))
-        doc, lo, n = _merge(x["doc"][i], x["lo"][i] + p, np.full(len(i), LENGTH, np.int64))
-        return pa.Table.from_batches([_packed(_owner(doc, buckets), {"doc": doc, "lo": lo, "n": n.astype(np.int32)}, "owner")])
-
-    second = got.groupBy("bucket").applyInArrow(sort, "owner bigint, doc binary, lo binary, n binary")
-    return keyed.withColumn("owner", to_owner), spans.unionByName(second)
+        """Spans of strings that an earlier suffix has too. Matches go on as they are: their bucket is their owner."""
+        valid = pa.compute.is_valid(table.column("g"))
+        own, passing = table.filter(valid), table.filter(pa.compute.invert(valid))
+        x = _unpacked(own, ["doc", "t", "lo", "g", "w", "off"])
+        i, p = partial_matches(x, b"".join(own.column("bytes").to_pylist()))
+        docs_, number = _numbered(x["doc"][i], x["t"][i])
+        of, lo, n = _merge(number, x["lo"][i].astype(np.int64) + p, np.full(len(i), LENGTH, np.int64))
+        spans = {"doc": docs_[of, 0], "t": docs_[of, 1].astype(np.int32), "lo": lo.astype(np.int32), "n": n.astype(np.int32)}
+        found = pa.Table.from_batches([_packed(_owner(spans["doc"], spans["t"], buckets), spans, "owner")])
+        return pa.concat_tables([found, passing.select(["bucket", "doc", "t", "lo", "n", "bytes"]).rename_columns(["owner", "doc", "t", "lo", "n", "bytes"])], promote_options="default")
+
+    spans = got.groupBy("bucket").applyInArrow(sort, "owner bigint, doc binary, t binary, lo binary, n binary, bytes binary")
+    return keyed, spans
+
+
+def _with_bytes(texts: dict, key: np.ndarray, fields: dict[str, np.ndarray], doc: np.ndarray, t: np.ndarray, lo: np.ndarray, n: np.ndarray) -> pa.Table:
+    """Fields packed by key, and the n bytes at lo of each one's document."""
+    segments = [texts[d, h][i : i + m] for d, h, i, m in zip(doc.tolist(), t.tolist(), lo.tolist(), n.tolist())]
+    order = np.argsort(key, kind="stable")
+    rows = _packed(key, fields, "bucket")
+    joined, i = [], 0
+    for size in np.unique(key, return_counts=True)[1].tolist():
+        joined.append(b"".join([segments[j] for j in order[i : i + size]]))
+        i += size
+    return pa.Table.from_batches([rows.append_column("bytes", pa.array(joined, pa.binary()))])
 
 
 def _finish(keyed: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        x = _unpacked(right, ["doc", "lo", "n"])
-        doc, lo, n = _merge(x["doc"], x["lo"], x["n"].astype(np.int64))
+        raws = left.column("text").cast(pa.binary()).to_pylist()
+        own = list(zip(left.column("doc").to_pylist(), left.column("t").to_pylist()))
+        texts = dict(zip(own, raws))
+        x = _unpacked(right, ["doc", "t", "lo", "n"])
+        for row in right.filter(pa.compute.is_valid(right.column("bytes"))).to_pylist():
+            at, there = 0, row["bytes"]
+            m = {c: np.frombuffer(row[c], _KINDS[c]).tolist() for c in ("doc", "t", "lo", "n")}
+            for d, t, lo, n in zip(m["doc"], m["t"], m["lo"], m["n"]):
+                if texts[d, t][lo : lo + n] != there[at : at + n]:
+                    raise RuntimeError("two contents have one hash; run again with other values in _BYTE")
+                at += n
+        docs_, number = _numbered(x["doc"], x["t"])
+        of, lo, n = _merge(number, x["lo"].astype(np.int64), x["n"].astype(np.int64))
+        where = {(d, t): (i, j) for (d, t), i, j in zip(docs_.tolist(), np.searchsorted(of, np.arange(len(docs_)), "left").tolist(), np.searchsorted(of, np.arange(len(docs_)), "right").tolist())}
         out = []
-        names = left.column("doc").to_numpy()
-        begin, end = np.searchsorted(doc, names, "left").tolist(), np.searchsorted(doc, names, "right").tolist()
-        for raw, i, j in zip(left.column("text").cast(pa.binary()).to_pylist(), begin, end):
+        for name, raw in zip(own, raws):
             kept, at, removed = [], 0, 0
+            i, j = where.get(name, (0, 0))
             for a, b in zip(lo[i:j].tolist(), (lo[i:j] + n[i:j]).tolist()):
                 kept.append(raw[at:a])
                 removed += b - a
@@ -392,7 +513,7 @@ def _finish(keyed: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
         columns = list(zip(*out)) if out else [[], [], [], []]
         return pa.table([left.column("id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = keyed.select("owner", "id", "doc", "text")
+    rows = keyed.select("owner", "id", "doc", "t", "text")
     return rows.groupBy("owner").cogroup(spans.groupBy("owner")).applyInArrow(apply, f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 

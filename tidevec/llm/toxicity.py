@@ -3,8 +3,8 @@
 Voters (``VOTERS`` hand-written ones, and mined ones) look at a text's words: small
 lexicons by kind of insult and language, patterns, and words and word beginnings that
 stand out in toxic texts, the strongest a voter each and the others in tiers. A generative label
-model, a latent class with class-conditional firing rates, is fitted to the votes of
-labelled and unlabelled rows alike by expectation maximisation. It estimates the
+model, two classes of several kinds of texts with firing rates of their own, is fitted to the
+votes of labelled and unlabelled rows alike by expectation maximisation. It estimates the
 accuracy of each voter, and the correlations between voters given the class, which
 discount voters that say the same. Labels anchor it: the rates start from labelled rows,
 which count in every estimate as what they are. No posterior sees its row's label: all
@@ -41,13 +41,13 @@ FIT_ROWS = 8000  # bound on the labelled rows a model is fitted on, and on the u
 FIT_CHARS = 40_000_000  # bound on the characters of either
 SINGLE = 40  # mined entries that are a voter each
 PRIOR = 5  # rows that a voter's common rate counts for in either class
-FEWEST = 5  # texts, and one in a thousand, that a voter with a say fires on
-LIFT = 4  # how much more often a voter with a say fires in the toxic class
+LIFT = 2  # how much more often a voter with a say fires in the toxic class, for sure (at two standard deviations)
 MINED = 2000  # entries of the mined lexicons at most
 #: Mined lexicons, a voter each, by the least strength of their entries (see ``mine``).
 TIERS = (0.7, 1.2, 1.8, 2.5, 3.5)
 SHORTEST, LONGEST = 3, 8  # letters in a mined word beginning
 THRESHOLD = 0.3
+KINDS = 32  # kinds of rows in either class
 ROUNDS = 15
 CACHE = 400_000
 
@@ -230,46 +230,76 @@ def mine(texts: list[str], toxic: np.ndarray, most: int = MINED) -> list[tuple[s
     return list(zip(out, strength))
 
 
-def with_silence(votes: np.ndarray) -> np.ndarray:
-    """The votes, and one for the other class where no voter fires. Voters are for one language or kind of insult each,
-    so that a single one is silent says nothing; that all are does."""
-    return np.column_stack([votes, ~votes.any(axis=1)]).astype(np.float64)
+def _kinds(v: np.ndarray, most: int) -> np.ndarray:
+    """A number for each row: which of at most ``most`` kinds of votes it is, by k-means from rows far apart."""
+    centres = v.mean(0, keepdims=True)
+    while len(centres) < most:
+        away = ((v[:, None] - centres) ** 2).sum(2).min(1)
+        if not away.max(initial=0) > 0:
+            break
+        centres = np.vstack([centres, v[away.argmax()]])
+    for _ in range(10):
+        at = ((v[:, None] - centres) ** 2).sum(2).argmin(1)
+        centres = np.stack([v[at == k].mean(0) if (at == k).any() else centres[k] for k in range(len(centres))])
+    return at
 
 
 def label_model(votes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, dict]:
     """Posterior labels of a latent class model of the votes (rows x voters, 0 or 1), and what it estimates.
 
+    Either class is a mixture of up to ``KINDS`` kinds of rows, with firing rates of their own: voters are for one
+    language or sort of insult each, so their votes depend on each other within a class.
+
     known: the class of some rows (1 or 0; -1 where it isn't known; -2 for rows that voters were made from, which
-    would flatter them and count in no estimate). The known rows say what the classes are: the estimates
-    start from them, and they count as what they are in every later one, while other rows count by their
-    posterior. The posteriors returned come from the votes alone, for all rows. A voter that doesn't fire abstains, and
-    one that isn't ``LIFT`` times as frequent in the toxic class as in the other, or fires on very few texts, has no say. Correlations are those of the
-    voters' residuals given the class; a voter's evidence is divided by one plus the variance it shares with the
-    others. A voter's accuracy is the share of the texts it fires on that are toxic (of silence: that are not).
+    would flatter them and count in no estimate). The known rows say what the classes are: the estimates start from them,
+    and they count as what they are in every later one, while other rows count by their posterior. The posteriors
+    returned come from the votes alone, for all rows. A voter that isn't surely ``LIFT`` times as frequent in the toxic
+    class as in the other has no say. Correlations are those of the voters' residuals given the kind; a voter's
+    evidence is divided by one plus the variance it shares with the others. A voter's accuracy is the share of the texts
+    it fires on that are toxic.
     """
-    v = with_silence(votes)
+    v = votes.astype(np.float64)
     pi = float(((known == 1).sum() + 1) / ((known >= 0).sum() + 2))
-    q, discount, rho = np.where(known == 1, 1.0, 0.0), np.ones(v.shape[1]), np.zeros((v.shape[1],) * 2)
-    counts = np.where(known >= 0, 1.0, 0.0)  # at first, the known rows only
+    parts, toxic = [], []
+    for c in (1, 0):
+        rows = np.flatnonzero(known == c)
+        at = _kinds(v[rows], KINDS) if len(rows) else np.zeros(0, int)
+        for k in np.unique(at):
+            parts.append(rows[at == k])
+            toxic.append(c == 1)
+    toxic = np.array(toxic)
+    share = np.zeros((len(v), len(parts)))  # of each row in each kind
+    for k, rows in enumerate(parts):
+        share[rows, k] = 1
+    counts = np.where(known >= 0, 1.0, 0.0)[:, None]  # at first, the known rows only
+    own = np.stack([known != 0, known != 1], 1)[:, np.where(toxic, 0, 1)]  # the kinds a row may be of
+    discount = np.ones(v.shape[1])
     for _ in range(ROUNDS):
-        # a few rows of the common rate in either class, so that a voter that rarely fires has no say by chance
-        rate = (counts @ v + 0.5) / (counts.sum() + 1)
-        alpha = ((q * counts) @ v + PRIOR * rate) / ((q * counts).sum() + PRIOR)
-        beta = (((1 - q) * counts) @ v + PRIOR * rate) / (((1 - q) * counts).sum() + PRIOR)
-        says = (alpha > LIFT * beta) & (v.sum(0) >= max(FEWEST, len(v) / 1000))
-        says[-1] = True
-        odds = np.log(pi / (1 - pi)) + v @ (np.log(alpha / beta) * discount * says)
-        posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        q, counts = np.where(known >= 0, known == 1, posterior), np.where(known > -2, 1.0, 0.0)
-        residual = v - q[:, None] * alpha - (1 - q[:, None]) * beta
+        weighed = share * counts
+        size, fired = weighed.sum(0), weighed.T @ v
+        rate = (fired.sum(0) + 0.5) / (size.sum() + 1)
+        # a few rows of the common rate, so that a voter that rarely fires has no say by chance
+        of = {c: (fired[toxic == c].sum(0) + PRIOR * rate) / (size[toxic == c].sum() + PRIOR) for c in (True, False)}
+        alpha, beta = of[True], of[False]
+        a, b = fired[toxic].sum(0), fired[~toxic].sum(0)
+        says = np.log(alpha / beta) - 2 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > np.log(LIFT)
+        rates = (fired + PRIOR * np.where(toxic[:, None], alpha, beta)) / (size + PRIOR)[:, None]
+        weight = (size + 1) / np.where(toxic, (size[toxic] + 1).sum(), (size[~toxic] + 1).sum()) * np.where(toxic, pi, 1 - pi)
+        heed = discount * says
+        odds = np.log(weight) + v @ (np.log(rates) * heed).T + (1 - v) @ (np.log(1 - rates) * heed).T
+        alone = np.exp(odds - odds.max(1, keepdims=True))
+        alone /= alone.sum(1, keepdims=True)
+        share = alone * own
+        share /= np.maximum(share.sum(1, keepdims=True), 1e-300)
+        counts = np.where(known > -2, 1.0, 0.0)[:, None]
+        residual = v - share @ rates
         deviation = np.sqrt((residual**2).mean(0)) + 1e-9
         rho = np.abs(residual.T @ residual / len(v) / deviation / deviation[:, None])
         np.fill_diagonal(rho, 0)
         rho[rho < 0.3] = 0  # chance
         discount = 1 / (1 + (rho[says] ** 2).sum(0))
     accuracy = pi * alpha / (pi * alpha + (1 - pi) * beta)
-    accuracy[-1] = 1 - accuracy[-1]
-    return posterior, {"alpha": alpha, "beta": beta, "prior": pi, "correlation": rho, "accuracy": accuracy, "says": says}
+    return alone[:, toxic].sum(1), {"alpha": alpha, "beta": beta, "prior": pi, "correlation": rho, "accuracy": accuracy, "says": says}
 
 
 def _logistic(x: np.ndarray, q: np.ndarray, penalty: float = 0.1) -> tuple[np.ndarray, float]:
@@ -317,7 +347,7 @@ def fit(texts: list[str | None], labels: list[int], unlabelled: list[str | None]
     known = np.full(len(x), -1)
     known[: len(toxic)] = np.where(half, -2, toxic)
     posterior, found = label_model(votes, known)
-    x[:, ~found["says"][:-1]] = 0
+    x[:, ~found["says"]] = 0
     model.weights, model.bias = _logistic(x, posterior)
     return model
 
