@@ -73,6 +73,20 @@ def test_license_suppression(spark):
     assert sorted(d.rule for d in found) == brute(words)
 
 
+def test_license_scan_of_long_texts(spark):
+    """Twice the detections take about twice the time, and all are found."""
+    import time
+
+    took = []
+    for n in (1, 4000, 16000):
+        began = time.perf_counter()
+        r = licenses.scan(docs(spark, [(1, "mit license and " * n)])).first()
+        took.append(time.perf_counter() - began)
+        assert r.n_base == n and len(r.detections) == n and r.n_words == 3 * n
+        assert [d.first_word for d in r.detections] == list(range(0, 3 * n, 3))
+    assert took[2] - took[0] < 8 * max(1.0, took[1] - took[0])
+
+
 # packing
 
 

@@ -282,17 +282,27 @@ def _group_pairs(entries: np.ndarray, similarity: float) -> tuple[np.ndarray, np
     return np.unique(np.stack([node[i[ok]], node[j[ok]]], 1), axis=0), entries[np.repeat(size, size) > ALL_PAIRS]
 
 
-def _common(sets: DataFrame, shingles: int) -> tuple[np.ndarray, np.ndarray]:
+def _sets_of(batch: pa.RecordBatch, at: int, k: int, rows: int) -> Iterator[list[np.ndarray]]:
+    """The sets of the texts in a column, for so many rows at a time."""
+    for i in range(0, batch.num_rows, rows):
+        yield [shingle_set(x, k) for x in batch.column(at).slice(i, rows).cast(pa.binary()).to_pylist()]
+
+
+def _node(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED)
+
+
+def _common(texts: DataFrame, k: int, shingles: int) -> tuple[np.ndarray, np.ndarray]:
     """Upper halves of hashes that many sets have, sorted, and how many do. Left-out ones count as rare,
     which makes keys of more members and loses nothing."""
-    spark = sets.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // 4_000_000))
+    spark = texts.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // 2_000_000))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted hashes as steps, low and high halves and counts apart, which compress well."""
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                flat = np.frombuffer(b"".join(batch.column(0).slice(i, 4096).to_pylist()), np.uint64)
+            for sets in _sets_of(batch, 0, k, 4096):
+                flat = np.concatenate(sets)
                 h, n = np.unique((flat >> np.uint64(32)).astype(np.uint32), return_counts=True)
                 cuts = np.searchsorted(h, (np.arange(buckets + 1) * 2**32 // buckets).astype(np.uint64))
                 own = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
@@ -310,7 +320,7 @@ def _common(sets: DataFrame, shingles: int) -> tuple[np.ndarray, np.ndarray]:
         n = np.bincount(of, np.concatenate([x[2] for x in parts])).astype(np.int64)
         return pa.table({"h": h[n > ALL_PAIRS].astype(np.int64), "n": n[n > ALL_PAIRS]})
 
-    counted = sets.select("set").mapInArrow(emit, "bucket bigint, packed binary").groupBy("bucket").applyInArrow(add, "h bigint, n bigint")
+    counted = texts.mapInArrow(emit, "bucket bigint, packed binary").groupBy("bucket").applyInArrow(add, "h bigint, n bigint")
     held = counted.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     h, n = held.column("h").to_numpy().astype(np.uint32), held.column("n").to_numpy()
     order = np.argsort(h)
@@ -340,23 +350,18 @@ class _Sets:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i in range(0, batch.num_rows, 512):
-                    part = batch.slice(i, 512)
-                    sets = [shingle_set(x, k) for x in part.column(names.index("text")).cast(pa.binary()).to_pylist()]
+                for i, sets in enumerate(_sets_of(batch, names.index("text"), k, 512)):
+                    part = batch.slice(512 * i, 512)
                     made = {"set": lambda: pa.array([x.tobytes() for x in sets], pa.binary()), "n": lambda: pa.array(map(len, sets), pa.int32())}
-                    made["node"] = lambda: pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64))
+                    made["node"] = lambda: pa.array(np.array([_node(x) for x in sets], np.uint64).view(np.int64))
                     made["fp"] = lambda: pa.array(np.array([majority(x) for x in sets], np.int64))
                     if "s0" in columns:
-                        sketch = np.stack([parity_sketch(x) for x in sets]) if sets else np.zeros((0, SKETCH), np.int64)
+                        sketch = np.stack([parity_sketch(x) for x in sets])
                         made |= {f"s{j}": lambda j=j: pa.array(sketch[:, j]) for j in range(SKETCH)}
                     yield pa.RecordBatch.from_arrays([part.column(names.index(c)) if c in names else made[c]() for c in columns], list(columns))
 
         return rows.mapInArrow(run, schema)
 
-    def whole(self) -> DataFrame:
-        """node and set of every row."""
-        return self._of(self.rows.select("text"), "node", "set")
-
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b: nodes) whose sets are similar. Sizes and parity sketches leave few to compare, and only their
         sets are made."""
@@ -423,15 +428,14 @@ def similar_groups(df: DataFrame, k: int = 5, similarity: float = 0.8, id_col: s
     sets = _Sets(df, k, similarity, id_col, text_col)
     roots = _ball_roots(sets)
     shingles = sets.own.agg(F.sum("n")).first()[0] or 0
-    shared = spark.sparkContext.broadcast(_common(sets.whole(), shingles))
+    shared = spark.sparkContext.broadcast(_common(sets.rows.select("text"), k, shingles))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(shingles * (1 - similarity)) // ENTRIES)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                node, own = part.column(0).to_numpy(zero_copy_only=False), [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
+            for own in _sets_of(batch, 0, k, 2048):
+                node = np.array([_node(x) for x in own], np.uint64).view(np.int64)
                 keys = [prefix(x, common, counts, similarity) for x in own]
                 sizes = np.array([len(x) for x in keys], np.int64)
                 out = np.empty(sizes.sum(), _ENTRY)
@@ -454,7 +458,7 @@ def similar_groups(df: DataFrame, k: int = 5, similarity: float = 0.8, id_col: s
         left = pa.table({"a": many["node"], "b": pa.nulls(len(many), pa.int64()), "key": many["key"], "n": many["n"].astype(np.int64), "at": many["at"].astype(np.int64)})
         return pa.concat_tables([found, left])
 
-    packed = sets.whole().mapInArrow(emit, "bucket bigint, packed binary")
+    packed = sets.rows.select("text").mapInArrow(emit, "bucket bigint, packed binary")
     met = stored(packed.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, key bigint, n bigint, at bigint"))
     roots = _merged(roots, sets.verified(_rooted(met.where("b is not null").select("a", "b"), roots)))
     many = met.where("b is null").select(F.col("a").alias("node"), "key", "n", "at")
