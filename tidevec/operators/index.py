@@ -2,7 +2,8 @@
 
 An index is a DataFrame of records; inserting and erasing give a new one, as plans are
 immutable. Inverted lists come from k-means; a query looks into the lists of its nearest
-centroids. Results of every kind are ranked by exact distances.
+centroids. Records are stored by list when the index is built, and every
+query reads them there. Results of every kind are ranked by exact distances.
 """
 
 from __future__ import annotations
@@ -11,17 +12,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidevec.functions import vectors
 from tidevec.operators import topk as search
 from tidevec.schema import record_schema
+from tidevec.session import shared_dir
 
 KINDS = ("bruteforce", "ivf", "hnsw", "vectraflow")
 #: Rows that centroids are fitted on at most; every row is put into a list all the same.
 FIT_ROWS = 200_000
-#: An index is refitted when it has grown by this factor since.
+#: Lists are fitted again when so many times as many records were added since as there are.
 REBUILD = 1.5
+#: Records of a list, on average, that are compared in one task.
+LIST_ROWS = 20_000
 
 
 def fit_lists(rows: DataFrame, nlist: int, seed: int = 42, iterations: int = 20) -> np.ndarray:
@@ -33,7 +38,7 @@ def fit_lists(rows: DataFrame, nlist: int, seed: int = 42, iterations: int = 20)
     if not n:
         return np.zeros((0, 1))
     # rows are chosen by their content, so that any partitioning fits the same model
-    share = rows if n <= FIT_ROWS else rows.where(F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < int(FIT_ROWS / n * 1_000_000))
+    share = rows if n <= FIT_ROWS else rows.where(F.xxhash64("vec") < F.lit(int(FIT_ROWS / n * 2**64) - 2**63))
     features = share.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
     model = KMeans(k=max(2, min(nlist, n)), maxIter=iterations, seed=seed).fit(features)
     return np.array(model.clusterCenters())
@@ -87,45 +92,79 @@ class Index:
     kind: str
     dim: int
     rows: DataFrame
+    size: int = 0
     nlist: int = 1000
     nprobe: int = 10
     seed: int = 42
     centroids: np.ndarray | None = None
-    fitted: int = 0
-    added: int = field(default=0)
+    added: int = 0  # records inserted since the lists were fitted
+    listed: DataFrame | None = field(default=None, repr=False)  # the records by list, each list in parts
 
     def insert(self, rows: DataFrame) -> None:
         """Add records; of equal uids the one already there, or else the earliest, stays."""
         rows = rows.select("uid", "ts", "vec")
         both = self.rows.withColumn("_o", F.lit(0)).unionByName(rows.withColumn("_o", F.lit(1)))
         first = F.min_by(F.struct("uid", "ts", "vec"), F.struct("_o", "ts")).alias("r")
-        self.rows = both.groupBy("uid").agg(first).select("r.*")
+        # cut, so that a query doesn't run all insertions again
+        shared_dir(rows.sparkSession)
+        before = self.size
+        self.rows = both.groupBy("uid").agg(first).select("r.*").checkpoint(eager=True)
+        self.size = self.rows.count()
+        self.added += self.size - before
+        self.listed = None
 
     def erase(self, uids: DataFrame) -> None:
         """Remove the records with these uids (a column uid); others are ignored."""
-        self.rows = self.rows.join(uids.select("uid").distinct(), "uid", "left_anti")
+        shared_dir(uids.sparkSession)
+        self.rows = self.rows.join(uids.select("uid").distinct(), "uid", "left_anti").checkpoint(eager=True)
+        self.size, self.listed = self.rows.count(), None
 
     def get(self, uids: DataFrame) -> DataFrame:
         """ordinal, uid, ts, vec for a list of uids (ordinal, uid): in its order, with repeats, without missing ones."""
         return uids.select("ordinal", "uid").join(self.rows, "uid").select("ordinal", "uid", "ts", "vec")
 
     def build(self) -> None:
-        """Fit the inverted lists if there are none, or the set has outgrown them."""
-        n = self.rows.count()
-        if self.centroids is None or n >= REBUILD * max(1, self.fitted):
-            self.centroids, self.fitted = fit_lists(self.rows, self.nlist, self.seed), n
+        """Fit the inverted lists if there are none, or as many records were added since as ``REBUILD`` times those there
+        are; and store the records by list, once for all queries."""
+        if self.size and (self.centroids is None or self.added >= REBUILD * self.size):
+            self.centroids, self.added = fit_lists(self.rows, self.nlist, self.seed), 0
+        if self.listed is None and self.centroids is not None:
+            shared_dir(self.rows.sparkSession)
+            parts = F.pmod(F.xxhash64("uid"), F.lit(max(1, -(-self.size // (LIST_ROWS * len(self.centroids)))))).cast("int")
+            self.listed = assign(self.rows.select("uid", F.col("vec").cast("array<double>").alias("vec")), F.col("vec"), self.centroids).withColumn("part", parts).checkpoint(eager=True)
 
     def query(self, queries: DataFrame, k: int) -> DataFrame:
-        """qid, rank, uid, dist of the k nearest. Inverted lists find those in the lists looked into; the other
-        kinds are exact: a graph that changes row by row has no counterpart in immutable plans."""
+        """qid, rank, uid, dist of the k nearest. Inverted lists find those in the lists looked into: queries and records
+        of a list (of a part of it, where lists are long) are compared by matrix products. The other kinds are
+        exact, ``hnsw`` too: a graph that changes row by row has no counterpart in immutable plans."""
         if self.kind != "ivf" or k <= 0:
             return search.topk(queries, self.rows, k)
         self.build()
-        if not len(self.centroids):
+        if self.listed is None:
             return search.topk(queries, self.rows, k)
-        listed = assign(self.rows, F.col("vec"), self.centroids)
-        asked = probes(queries.select(F.col("uid").alias("qid"), F.col("vec").alias("q")), F.col("q"), self.centroids, self.nprobe)
-        near = listed.join(asked, "list").select("qid", "uid", vectors.l2(F.col("q"), F.col("vec")).alias("dist"))
+        parts = max(1, -(-self.size // (LIST_ROWS * len(self.centroids))))
+        asked = probes(queries.select(F.col("uid").alias("qid"), F.col("vec").cast("array<double>").alias("q")), F.col("q"), self.centroids, self.nprobe)
+        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            if left.num_rows and right.num_rows:
+                qid, q = left.column("qid").to_numpy(), search._matrix(left.column("q").combine_chunks())
+                uid, x = right.column("uid").to_numpy(), search._matrix(right.column("vec").combine_chunks())
+                xn = (x * x).sum(1)
+                m = min(k, len(uid))
+                for i in range(0, len(q), search.TILE):
+                    t = q[i : i + search.TILE]
+                    norms = (t * t).sum(1)[:, None] + xn
+                    square = norms - 2 * t @ x.T
+                    slop = search.SLOP * (norms + 1)
+                    i_q, i_x = np.nonzero(square - slop <= np.partition(square + slop, m - 1, axis=1)[:, m - 1 :][:, :1])
+                    dist = search._exact(t[i_q], x[i_x])
+                    best = search._best(i_q, dist, uid[i_x], k)
+                    found.append((qid[i : i + search.TILE][i_q[best]], uid[i_x[best]], dist[best]))
+            return pa.table(dict(zip(("qid", "uid", "dist"), (pa.array(np.concatenate(c)) for c in zip(*found)))))
+
+        near = asked.groupBy("list", "part").cogroup(self.listed.groupBy("list", "part")).applyInArrow(meet, "qid bigint, uid bigint, dist double")
         rank = F.row_number().over(Window.partitionBy("qid").orderBy("dist", "uid"))
         return near.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k).select("qid", "rank", "uid", "dist")
 
@@ -187,10 +226,21 @@ class Registry:
         return (key in self._names) if isinstance(key, str) else key in self._by_id
 
     def save(self, key: int | str, path: str) -> None:
-        self[key].rows.write.mode("overwrite").parquet(path)
-
-    def load(self, name: str, path: str, kind: str = "bruteforce", dim: int = 0, **options) -> int:
-        number = self.create_index(name, kind, dim, **options)
-        if number >= 0:
-            self._by_id[number].rows = self.spark.read.parquet(path)
+        """The records, and beside them the kind, the options and the centroids."""
+        index = self[key]
+        index.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        centroids = None if index.centroids is None else index.centroids.tolist()
+        model = [(index.kind, index.dim, index.nlist, index.nprobe, index.seed, index.added, centroids)]
+        self.spark.createDataFrame(model, _MODEL).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+
+    def load(self, name: str, path: str) -> int:
+        """A saved index under a new name, as it was."""
+        m = self.spark.read.parquet(f"{path}/model").first()
+        number = self.create_index(name, m["kind"], m["dim"], nlist=m["nlist"], nprobe=m["nprobe"], seed=m["seed"])
+        index = self._by_id[number]
+        index.rows, index.added = self.spark.read.parquet(f"{path}/rows"), m["added"]
+        index.size, index.centroids = index.rows.count(), None if m["centroids"] is None else np.array(m["centroids"])
         return number
+
+
+_MODEL = "kind string, dim int, nlist int, nprobe int, seed int, added bigint, centroids array<array<double>>"

@@ -22,9 +22,18 @@ from tidevec.operators.topk import SLOP, _exact, _matrix
 
 #: Rows of one side in a block, about.
 BLOCK = 2048
+#: Milliseconds of a window, and of a step between joins, where neither is given.
+WINDOW, STEP = 1000, 5
 METHODS = ("bruteforce", "ivf", "lsh")
 
 
+def window_and_step(window: int | None = None, step: int | None = None) -> tuple[int, int]:
+    """What a join uses: ``WINDOW`` and ``STEP`` by default, and a quarter of a window that is given alone."""
+    if window is None:
+        return WINDOW, step or STEP
+    return window, step or max(1, window // 4)
+
+
 @dataclass(frozen=True)
 class JoinMethod:
     index: str

@@ -2,8 +2,8 @@
 
 Queries travel in blocks, each small enough to broadcast; the indexed rows are read once
 a block, and every Arrow batch of them is compared with the whole block by matrix
-products. A task keeps the k best of each query it has seen, so what is shuffled is k
-rows a query and task, whatever the size of the index. Candidates are ranked by exactly
+products, in tiles of a few thousand rows of either side. A task keeps the k best of each
+query it has seen, so what is shuffled is k rows a query and task, whatever the size of the index. Candidates are ranked by exactly
 computed distances, ties by the smaller uid.
 """
 
@@ -19,6 +19,8 @@ from tidevec.functions import vectors
 
 #: Bytes of query vectors in a broadcast block.
 BLOCK_BYTES = 64_000_000
+#: Queries and indexed rows compared at once: 64 MB of squared distances.
+TILE = 2048
 #: Squared distances from matrix products are this far off at most, relative to the norms.
 SLOP = 1e-9
 
@@ -89,25 +91,29 @@ def topk(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool = Fals
             kept = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
             worst = np.full(len(qid), np.inf)
             for batch in batches:
-                for i in range(0, batch.num_rows, 4096):
-                    part = batch.slice(i, 4096)
+                for i in range(0, batch.num_rows, TILE):
+                    part = batch.slice(i, TILE)
                     uid, x = part.column(0).to_numpy(), _matrix(part.column(1))
                     if x.shape[1] != q.shape[1]:
                         raise ValueError(f"vectors of dimensions {q.shape[1]} and {x.shape[1]} meet")
                     xn = (x * x).sum(1)
-                    square = qn[:, None] + xn - 2 * q @ x.T
-                    slop = SLOP * (qn[:, None] + xn + 1)
                     m = min(k + exclude_self, len(uid))
-                    limit = np.minimum(np.partition(square + slop, m - 1, axis=1)[:, m - 1], worst * worst)
-                    near = square - slop <= limit[:, None]
-                    if exclude_self:
-                        near &= qid[:, None] != uid
-                    i_q, i_x = np.nonzero(near)
-                    owner = np.concatenate((kept[0], i_q))
-                    dist = np.concatenate((kept[1], _exact(q[i_q], x[i_x])))
-                    ids = np.concatenate((kept[2], uid[i_x]))
-                    best = _best(owner, dist, ids, k)
-                    kept = owner[best], dist[best], ids[best]
+                    owners, dists, ids = [kept[0]], [kept[1]], [kept[2]]
+                    for j in range(0, len(q), TILE):
+                        tile = slice(j, j + TILE)
+                        square = qn[tile, None] + xn - 2 * q[tile] @ x.T
+                        slop = SLOP * (qn[tile, None] + xn + 1)
+                        limit = np.minimum(np.partition(square + slop, m - 1, axis=1)[:, m - 1], worst[tile] * worst[tile])
+                        near = square - slop <= limit[:, None]
+                        if exclude_self:
+                            near &= qid[tile, None] != uid
+                        i_q, i_x = np.nonzero(near)
+                        owners.append(i_q + j)
+                        dists.append(_exact(q[i_q + j], x[i_x]))
+                        ids.append(uid[i_x])
+                    owner, dist, own = np.concatenate(owners), np.concatenate(dists), np.concatenate(ids)
+                    best = _best(owner, dist, own, k)
+                    kept = owner[best], dist[best], own[best]
                     count = np.bincount(kept[0], minlength=len(qid))
                     full = count == k
                     worst[full] = kept[1][np.cumsum(count)[full] - 1]
@@ -141,16 +147,18 @@ def within(queries: DataFrame, index: DataFrame, threshold: float, alpha: float
                 return
             qn = (q * q).sum(1)
             for batch in batches:
-                for i in range(0, batch.num_rows, 1024):
-                    part = batch.slice(i, 1024)
+                for i in range(0, batch.num_rows, TILE):
+                    part = batch.slice(i, TILE)
                     uid, x = part.column(0).to_numpy(), _matrix(part.column(1))
                     if x.shape[1] != q.shape[1]:
                         raise ValueError(f"vectors of dimensions {q.shape[1]} and {x.shape[1]} meet")
-                    norms = qn[:, None] + (x * x).sum(1)
-                    i_q, i_x = np.nonzero(norms - 2 * q @ x.T - SLOP * (norms + 1) <= reach * reach)
-                    sim = np.exp(-alpha * _exact(q[i_q], x[i_x]))
-                    ok = sim >= threshold
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[i_q[ok]]), pa.array(uid[i_x[ok]]), pa.array(sim[ok])], ["qid", "uid", "sim"])
+                    xn = (x * x).sum(1)
+                    for j in range(0, len(q), TILE):
+                        norms = qn[j : j + TILE, None] + xn
+                        i_q, i_x = np.nonzero(norms - 2 * q[j : j + TILE] @ x.T - SLOP * (norms + 1) <= reach * reach)
+                        sim = np.exp(-alpha * _exact(q[i_q + j], x[i_x]))
+                        ok = sim >= threshold
+                        yield pa.RecordBatch.from_arrays([pa.array(qid[i_q[ok] + j]), pa.array(uid[i_x[ok]]), pa.array(sim[ok])], ["qid", "uid", "sim"])
 
         parts.append(index.select("uid", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "qid bigint, uid bigint, sim double"))
     return _all(parts)

@@ -7,6 +7,7 @@ so a stream may be used several times (a true fan-out). Nothing runs until ``exe
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidevec.functions import vectors
 from tidevec.operators import aggregate, index, join, topk, windows
+from tidevec.session import shared_dir
 from tidevec.sources.simple import SCHEMA, MemorySource
 from tidevec.streaming import operators as streaming
 
@@ -21,11 +23,11 @@ Sink = Callable[[DataFrame], None]
 
 
 class Stream:
-    def __init__(self, env: Environment, df: DataFrame, name: str = "stream"):
-        self.env, self.df, self.name = env, df, name
+    def __init__(self, env: Environment, df: DataFrame, name: str = "stream", step: int | None = None):
+        self.env, self.df, self.name, self.step = env, df, name, step
 
-    def _next(self, df: DataFrame, what: str) -> Stream:
-        return Stream(self.env, df, f"{self.name}_{what}")
+    def _next(self, df: DataFrame, what: str, step: int | None = None) -> Stream:
+        return Stream(self.env, df, f"{self.name}_{what}", step or self.step)
 
     def filter(self, condition: Column | str) -> Stream:
         """Rows that meet the condition; on windows too, rows really go."""
@@ -62,12 +64,14 @@ class Stream:
         """The k records of each window nearest to one query."""
         return self._next(topk.itopk(self.df, query, k), "itopk")
 
-    def join(self, other: Stream, window: int, method: str = "bruteforce_lazy", threshold: float = 0.8, alpha: float = vectors.ALPHA, **options) -> Stream:
-        """The windowed similarity join with another stream."""
+    def join(self, other: Stream, window: int | None = None, method: str = "bruteforce_lazy", threshold: float = 0.8, alpha: float = vectors.ALPHA, step: int | None = None, **options) -> Stream:
+        """The windowed similarity join with another stream. window and step (milliseconds between the joins of a stream
+        that goes on, see ``Environment.execute``): see ``join.window_and_step`` for what they are by default."""
+        window, step = join.window_and_step(window, step)
         if self.df.isStreaming or other.df.isStreaming:
             join.parse_method(method)
-            return self._next(streaming.similarity_join(self.df, other.df, window, threshold, alpha, **options), "join")
-        return self._next(join.similarity_join(self.df, other.df, window, threshold, method, alpha, **options), "join")
+            return self._next(streaming.similarity_join(self.df, other.df, window, threshold, alpha, **options), "join", step)
+        return self._next(join.similarity_join(self.df, other.df, window, threshold, method, alpha, **options), "join", step)
 
     def write_sink(self, sink: Sink) -> Stream:
         """Hand the rows (of each micro-batch of a stream) to a function at ``execute``; rows also go on from here."""
@@ -80,8 +84,10 @@ class Stream:
 
 
 class Environment:
-    def __init__(self, spark: SparkSession, config: dict | None = None):
-        self.spark, self.config = spark, dict(config or {})
+    def __init__(self, spark: SparkSession, config: dict | None = None, checkpoint: str | None = None):
+        """checkpoint: a folder that all machines share, where the queries of streaming sinks keep how far they are; with the
+        same folder, a new process goes on where the last one ended. By default a new one in the shared folder."""
+        self.spark, self.config, self._checkpoint, self._started = spark, dict(config or {}), checkpoint, 0
         self.indexes = index.Registry(spark)
         self._sinks: list[tuple[Stream, Sink]] = []
         self._queries: list[StreamingQuery] = []
@@ -104,20 +110,30 @@ class Environment:
     def set_config(self, **values) -> None:
         self.config |= values
 
-    def execute(self, trigger: dict | None = None) -> list[StreamingQuery]:
-        """Run every sink registered since the last call: batches at once, streams as queries that go on
-        (trigger: arguments of Spark's, by default all there is and then the end)."""
+    def execute(self, trigger: dict | str | None = None) -> list[StreamingQuery]:
+        """Run every sink registered since the last call: batches at once, streams as queries that go on.
+
+        trigger: arguments of Spark's; 'step' for a micro-batch at each step of the stream's join; by default all there is
+        and then the end. Each query has a checkpoint, numbered in the order of the sinks, so it starts again where it was
+        and its sink sees a batch that failed once more.
+        """
         todo, self._sinks = self._sinks, []
         started = []
         for stream, sink in todo:
             if stream.df.isStreaming:
-                writer = stream.df.writeStream.trigger(**(trigger or {"availableNow": True}))
+                when = {"processingTime": f"{stream.step or join.STEP} milliseconds"} if trigger == "step" else trigger or {"availableNow": True}
+                writer = stream.df.writeStream.trigger(**when).option("checkpointLocation", f"{self._folder()}/{self._started}-{stream.name}")
+                self._started += 1
                 started.append(writer.foreachBatch(lambda df, _, sink=sink: sink(df)).start())
             else:
                 sink(stream.df)
         self._queries += started
         return started
 
+    def _folder(self) -> str:
+        self._checkpoint = self._checkpoint or f"{shared_dir(self.spark)}/environment-{uuid.uuid4().hex}"
+        return self._checkpoint
+
     def await_termination(self) -> None:
         for query in self._queries:
             query.awaitTermination()
