@@ -20,6 +20,8 @@ from tidevec.session import shared_dir
 
 #: The state store that can hold several states of a key; Spark's default one can't.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Records of an index that a stream's probes broadcast at most.
+PROBE_ROWS = 100_000
 #: Watermarks start at zero, so event times are moved on by so many milliseconds: timestamps may be zero or less.
 EPOCH = 1 << 40
 
@@ -97,9 +99,10 @@ def topk_batches(index: DataFrame, k: int, sink: Callable[[DataFrame, int], None
 
 
 def range_probe(stream: DataFrame, index: DataFrame, threshold: float, alpha: float = vectors.ALPHA) -> DataFrame:
-    """qid, uid, sim: the records of a static index at least this similar to each arriving one. The index goes
-    through the driver to the executors in blocks, so it must be small, and the stream passes through; for an index
-    of any size use ``range_probe_batch``."""
+    """qid, uid, sim: the records of a static index at least this similar to each arriving one. The index is broadcast and
+    the stream passes through, so an index of more than ``PROBE_ROWS`` is an error; ``range_probe_batch`` takes any."""
+    if index.limit(PROBE_ROWS + 1).count() > PROBE_ROWS:
+        raise ValueError(f"an index of more than {PROBE_ROWS} records isn't broadcast; use range_probe_batch")
     return search.within(index, stream, threshold, alpha).select(F.col("uid").alias("qid"), F.col("qid").alias("uid"), "sim")
 
 
